@@ -99,7 +99,8 @@ def backward(m: Model, x: Layout, kept: dict, slope: np.ndarray) -> Model:
     g["hidden"], g["hidden_shift"] = kept["doc"].T @ up, up.sum(0)
     doc = up @ m["hidden"].T
     chunk = (doc[:, :FILTERS] / x.chunks[:, None])[x.of]
-    chunk = chunk + doc[x.of, FILTERS:] * (kept["chunk"] == kept["top"][x.of])
+    tied = (kept["chunk"] == kept["top"][x.of]).astype(np.float32)
+    chunk = chunk + doc[x.of, FILTERS:] * tied / np.add.reduceat(tied, x.begin)[x.of]
     chunk *= kept["chunk"] > 0
     g["filters"] = np.einsum("cf,cfk->kf", chunk, kept["window"][kept["position"]])
     g["shift"] = chunk.sum(0)

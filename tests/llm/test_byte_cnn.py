@@ -44,13 +44,13 @@ def test_gradients():
     logit, kept = C.forward(m, x, keep=True)
     g = C.backward(m, x, kept, (1 / (1 + np.exp(-logit)) - y).astype(np.float32))
     for name, at in (("last", 3), ("hidden", (5, 2)), ("filters", (7, 9)), ("shift", 4), ("bytes", (101, 1))):
-        was, eps = m[name][at], 1e-2
+        was, eps = m[name][at], 2e-3
         m[name][at] = was + eps
         up = loss()
         m[name][at] = was - eps
         down = loss()
         m[name][at] = was
-        assert (up - down) / (2 * eps) == pytest.approx(float(np.asarray(g[name])[at]), abs=2e-2)
+        assert (up - down) / (2 * eps) == pytest.approx(float(np.asarray(g[name])[at]), abs=2e-2, rel=0.1)
 
 
 def test_held_out_accuracy_and_columns(spark):
