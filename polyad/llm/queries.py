@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, html_main, minhash, mixing, packing, rules, secret_scan, token_counts
+from . import byte_cnn, ego_join, html_main, minhash, mixing, packing, rules, secret_scan, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,9 +58,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_quality_classifier, op3_minhash, op4_secret_scan, op5_quality_rules, op6_html_extraction, op8_best_fit_packing, op9_mixing, op10_token_counts]
+    found = [op1_ego_join, op2_quality_classifier, op3_minhash, op4_secret_scan, op5_quality_rules, op6_html_extraction, op8_best_fit_packing, op9_mixing, op10_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_ego_join": ego_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
