@@ -29,6 +29,7 @@ PERCENT = 80
 #: Rows compared at a time in one task: a hub's members by set, a bucket's by signature.
 FAN, BLOCK = 64, 512
 SALTS = 8
+BITS = 1 << 25
 
 _rng = np.random.default_rng(80)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=U64) * U64(2) + U64(1)
@@ -176,8 +177,16 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(docs: DataFrame, rows: DataFrame, key: str, schema: str) -> DataFrame:
-    """The rows with the shingle set of the document whose id is in ``key``."""
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    """The rows with the shingle set of the document whose id is in ``key``.
+
+    A bitmap of id hashes (at most BITS bits, so a broadcast of at most BITS / 64 rows) keeps most texts
+    that no row asks for from being sent; where it is full it lets texts pass, and the join decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {BITS}) % 64 as int))")
+    bitmap = rows.select((place(key) / 64).cast("long").alias("_word"), bit(key).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    texts = docs.select(F.col("doc_id").alias("_id"), "text", (place("doc_id") / 64).cast("long").alias("_word"), bit("doc_id").alias("_bit"))
+    texts = texts.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("_id", "text")
     joined = rows.join(texts, rows[key] == texts["_id"]).select(*rows.columns, "text")
     return joined.mapInArrow(set_rows, schema)
 
