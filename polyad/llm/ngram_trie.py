@@ -26,7 +26,7 @@ from .elias_fano import Sequence, save, write_part
 from .runtime import new_path, tune
 from .textvec import U64, Texts, mix, slices
 
-PAIR_PRIOR, TRIPLE_PRIOR = 6.0, 1.5
+PAIR_PRIOR, TRIPLE_PRIOR = 600.0, 3.0
 RANK_BITS = 28
 #: log10 probabilities from -12 to 0 in 255 steps; context totals by their log2 in 1/8.
 STEP = 12 / 255
