@@ -74,7 +74,7 @@ def minmax_normalised(vectors: DataFrame, factor: np.ndarray) -> DataFrame:
 
     def component(j: int) -> Column:
         x, lo, hi = F.col("vec")[j], F.col(f"p{j}")[0], F.col(f"p{j}")[1]
-        y = (x - lo) * (float(span[j]) / (hi - lo)) + float(low[j])
+        y = (x - lo) * F.try_divide(F.lit(float(span[j])), hi - lo) + float(low[j])
         bad = (hi - lo < EPS) | y.isNull() | F.isnan(y) | (F.abs(y) == float("inf"))
         return F.when(bad, F.lit(float(middle[j]))).otherwise(y)
 
