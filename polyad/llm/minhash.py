@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import marked
 from .graph import Forest, components, grouped
 from .runtime import Scratch, tune
 from .textvec import U64, Texts, in_text, mix, slices, windows
@@ -29,7 +30,6 @@ PERCENT = 80
 #: Rows compared at a time in one task: a hub's members by set, a bucket's by signature.
 FAN, BLOCK = 64, 512
 SALTS = 8
-BITS = 1 << 25
 
 _rng = np.random.default_rng(80)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=U64) * U64(2) + U64(1)
@@ -179,23 +179,19 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_sets(docs: DataFrame, rows: DataFrame, key: str, schema: str) -> DataFrame:
     """The rows with the shingle set of the document whose id is in ``key``.
 
-    A bitmap of id hashes (at most BITS bits, so a broadcast of at most BITS / 64 rows) keeps most texts
-    that no row asks for from being sent; where it is full it lets texts pass, and the join decides.
+    Texts that no row asks for stay where they are, but for a few that the bitmap can't tell apart. The
+    join hashes the narrow side, so that texts aren't sorted.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {BITS}) % 64 as int))")
-    bitmap = rows.select((place(key) / 64).cast("long").alias("_word"), bit(key).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    texts = docs.select(F.col("doc_id").alias("_id"), "text", (place("doc_id") / 64).cast("long").alias("_word"), bit("doc_id").alias("_bit"))
-    texts = texts.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("_id", "text")
-    joined = rows.join(texts, rows[key] == texts["_id"]).select(*rows.columns, "text")
+    texts = marked(docs.select(F.col("doc_id").alias("_id"), "text"), "_id", rows, key, "_maybe").filter("_maybe").drop("_maybe")
+    joined = texts.join(rows.hint("shuffle_hash"), rows[key] == texts["_id"]).select(*rows.columns, "text")
     return joined.mapInArrow(set_rows, schema)
 
 
 def _star_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Which of the pairs (a, c) are links; c may be the hub of many."""
     half = signed.select("doc_id", "minima")
-    pairs = pairs.join(half.select(F.col("doc_id").alias("a"), F.col("minima").alias("left")), "a")
-    pairs = pairs.join(half.select(F.col("doc_id").alias("c"), F.col("minima").alias("right")), "c")
+    pairs = half.select(F.col("doc_id").alias("a"), F.col("minima").alias("left")).join(pairs.hint("shuffle_hash"), "a")
+    pairs = half.select(F.col("doc_id").alias("c"), F.col("minima").alias("right")).join(pairs.hint("shuffle_hash"), "c")
     pairs = scratch.save(pairs.select("a", "c", "left", "right").mapInArrow(alike_rows, "a long, c long").distinct(), "minhash-alike")
     spread = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("n"))
     members = pairs.join(spread, "c").select("c", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("salt"), F.col("a").alias("id"))
@@ -262,9 +258,14 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Of rows that share a doc_id and every other value one stays; rows without doc_id all stay.
     """
-    found = Scratch(spark).save(near_duplicates(spark, docs), "minhash-kept")
+    scratch = Scratch(spark)
+    found = scratch.save(near_duplicates(spark, docs), "minhash-kept")
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = scratch.save(gone, "minhash-gone")
+    name = next(f"_at{i}" for i in range(99) if not any(c.startswith(f"_at{i}") for c in docs.columns))
+    told = marked(docs.withColumn(f"{name}id", F.col("doc_id").cast("long")), f"{name}id", gone, "_gone", name)
+    asked = told.filter(name).join(gone.hint("shuffle_hash"), F.col(f"{name}id") == F.col("_gone"), "left_anti")
+    rest = told.filter(~F.col(name)).union(asked).drop(name, f"{name}id")
     if found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count():
         comparable = all(f.dataType.typeName() not in ("map", "variant") for f in docs.schema)
         rest = rest.dropDuplicates() if comparable else rest.dropDuplicates(["doc_id", "text"])
