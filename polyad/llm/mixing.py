@@ -119,7 +119,8 @@ def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     plan = scratch.save(plan, "mix-plan")
     name = next(f"_copies{i}" for i in range(99) if f"_copies{i}" not in docs.columns)
     known = plan.select(F.col("doc_id").alias(name + "id"), F.struct("c", "n").alias(name))
-    joined = docs.join(known, docs["doc_id"].eqNullSafe(known[name + "id"]))
+    # the narrow side is hashed: texts cross once and aren't sorted, at every size alike
+    joined = docs.join(known.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(known[name + "id"]))
     if plan.filter("n > 1").limit(1).count():
         order = Window.partitionBy(docs["doc_id"]).orderBy(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
         row = F.row_number().over(order) - 1
