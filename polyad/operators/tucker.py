@@ -240,7 +240,7 @@ def log_step(iteration: int, log_every: int, check_every: int) -> bool:
 
 @dataclass
 class Training:
-    """Settings of a run, with the reference's defaults where they matter."""
+    """Settings of a run."""
 
     rank: tuple[int, ...]
     divergence: str = "kl"
