@@ -22,8 +22,8 @@ WIDTH, STEP, CELL, CHUNK_CELLS, CHUNK_STEP = 8, 4, 64, 8, 7
 FILTERS, DIM, HIDDEN = 48, 8, 16
 PER_CELL = CELL // STEP
 
-#: Labelled documents to learn from, at most; of these, longer ones than this many characters aren't used.
-MOST_ROWS, MOST_CHARS = 4_000, 200_000
+#: Labelled documents to learn from, at most, and the characters of the longest that is used: 120 million in all.
+MOST_ROWS, MOST_CHARS = 4_000, 30_000
 
 Model = dict[str, np.ndarray]
 
