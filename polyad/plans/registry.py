@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..sources import corpus
 from ..sources.store import is_folder
 from ..streaming.ingest import ngram_rows as stream_ngrams
 from ..streaming.ingest import running_counts
+from ..ship import ship
 from . import fixtures as X
 from . import oracles as O
 
@@ -418,8 +420,17 @@ QUERIES: list[Query] = [
 ]
 
 
+def shipped(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: shipped(q) for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
