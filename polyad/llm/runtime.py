@@ -9,13 +9,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 #: Rows in one Arrow batch: bounds what a Python worker holds, whatever the partition's size.
 ARROW_ROWS = 512
 ARROW_BYTES = "16m"
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, since texts may be long; adaptive planning stays on."""
+    """The package on the executors, and small Arrow batches, since texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
