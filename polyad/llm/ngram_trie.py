@@ -2,13 +2,13 @@
 
 Level 1 holds the words (sorted hashes), level 2 the successors of each word, level 3 the successors of
 each pair. A word of level 3 is stored by its rank among the successors of the word before it. Levels are
-Elias-Fano sequences in memory-mapped files of the shared folder, with counts on level 1 and smoothed,
-quantised log probabilities on the others. Smoothing is by a Dirichlet prior: the counts of a context plus
-the next lower order's distribution as some occurrences more, so a context needs no more than its total.
+Elias-Fano sequences in memory-mapped files of the shared folder, with counts on levels 1 and 2 and
+smoothed, quantised log probabilities on levels 2 and 3. Smoothing is by a Dirichlet prior: the counts of a
+context plus the next lower order's distribution as some occurrences more, so a context needs no more than
+its total. That of a pair is its count, since every text ends with a token that begins no context.
 
 Counting runs in sorted blocks of integers: each task counts what it reads and sends, for every range of
-keys, one block; a range's task merges them and writes its part of the level. Triples occurring once are
-not stored; since a triple is no more frequent than its pairs, only triples of repeated pairs are sent.
+keys, one block; a range's task merges them and writes its part of the level. All pairs and triples are stored.
 """
 
 from __future__ import annotations
@@ -88,7 +88,6 @@ class Trie:
         with open(f"{folder}/totals-{levels}.json") as f:
             self.total = json.load(f)
         self.levels = [Level(folder, i) for i in range(1, levels + 1)]
-        self.contexts = Level(folder, 4) if levels == 3 else None
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for words that were not seen."""
@@ -163,10 +162,7 @@ def keys_of(folder: str, level: int, column: pa.Array) -> np.ndarray:
         at = np.flatnonzero(inner)
         return ids[at - 1].astype(U64) * U64(trie.total["words"]) + ids[at].astype(U64)
     place, rank = trie.pairs(ids, inner)
-    count = trie.levels[1].beside["count"]
-    often = (place >= 0) & (count[np.maximum(place, 0)] > 1) if len(count) else np.zeros(len(place), bool)
-    inner2 = inner & np.concatenate(([False], inner[:-1])) & often & np.concatenate(([False], often[:-1]))
-    return trie.triple_keys(place, rank, inner2)[1]
+    return trie.triple_keys(place, rank, inner & np.concatenate(([False], inner[:-1])))[1]
 
 
 def counted_rows(folder: str, level: int, cuts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -215,10 +211,6 @@ def built_rows(folder: str, level: int, cuts: np.ndarray, end: int) -> Callable[
     def write(i: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         begin, last = int(cuts[i]), int(cuts[i + 1]) if i + 1 < len(cuts) else end
         path = f"{folder}/{level}-{i}"
-        extra: dict | None = None
-        if level == 3:
-            keep = counts > 1
-            keys, counts = keys[keep], counts[keep]
         if level == 2:
             trie = opened(folder, 1)
             size = U64(trie.total["words"])
@@ -228,20 +220,16 @@ def built_rows(folder: str, level: int, cuts: np.ndarray, end: int) -> Callable[
         if level == 3:
             trie = opened(folder, 2)
             pair, rank = (keys >> U64(RANK_BITS)).astype(np.int64), (keys & U64((1 << RANK_BITS) - 1)).astype(np.int64)
-            contexts, group = np.unique(pair, return_inverse=True)
-            total = np.bincount(group, counts, len(contexts))
-            extra = write_part(f"{folder}/4-{i}", begin >> RANK_BITS, (last >> RANK_BITS) - (begin >> RANK_BITS) + 1, (contexts - (begin >> RANK_BITS)).astype(U64))
-            save(f"{folder}/4-{i}.count", total.astype(np.uint32))
+            total = trie.levels[1].beside["count"][pair].astype(np.float64)
             # the lower order: the pair of the last two words, found through the middle word's successors
             lower = trie.levels[1].beside["code"][trie.start_of_second(pair) + rank] if len(pair) else np.zeros(0, np.uint8)
-            save(f"{path}.code", code_of((counts + TRIPLE_PRIOR * value_of(lower)) / (total[group] + TRIPLE_PRIOR)))
+            save(f"{path}.code", code_of((counts + TRIPLE_PRIOR * value_of(lower)) / (total + TRIPLE_PRIOR)))
         else:
             save(f"{path}.count", np.minimum(counts, 2**32 - 1).astype(np.uint32))
         about = write_part(path, begin, max(last - begin, 1), keys - U64(begin))
         edge = np.linspace(0, len(keys), min(64, len(keys)) + 1).astype(int)
-        weight = np.where(counts > 1, counts, 0) if level == 2 else counts
-        marks = [[int(keys[a]) if level == 1 else int(a), int(weight[a:b].sum())] for a, b in zip(edge[:-1], edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([json.dumps([about, extra])]), pa.array([int(counts.sum())], pa.int64()), pa.array([json.dumps(marks)])], names=["part", "about", "total", "marks"])
+        marks = [[int(keys[a]) if level == 1 else int(a), int(counts[a:b].sum())] for a, b in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([json.dumps(about)]), pa.array([int(counts.sum())], pa.int64()), pa.array([json.dumps(marks)])], names=["part", "about", "total", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = -1, [], []
@@ -279,41 +267,39 @@ def joined_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def _build(spark: SparkSession, docs: DataFrame, folder: str, level: int, cuts: np.ndarray, end: int) -> list:
-    """Counts, writes and joins one level; its parts as (part, [description, ...], total, marks)."""
+    """Counts, writes and joins one level; its parts as (part, description, total, marks)."""
     blocks = docs.mapInArrow(counted_rows(folder, level, cuts), BLOCKS)
     spread = blocks.repartitionById(len(cuts), F.col("part")).sortWithinPartitions("part")
     rows = spread.mapInArrow(built_rows(folder, level, cuts, end), "part int, about string, total long, marks string").collect()
     rows = sorted((r["part"], json.loads(r["about"]), r["total"], json.loads(r["marks"])) for r in rows)
     copies = []
-    for which, number in ((0, level), (1, 4)) if level == 3 else ((0, level),):
-        parts = [r[1][which] for r in rows]
-        with open(f"{folder}/{number}.json", "w") as f:
-            json.dump(parts, f)
-        widths = {"low": 8, "high": 8}
-        widths |= {1: {"count": 4}, 2: {"count": 4, "code": 1}, 3: {"code": 1}, 4: {"count": 4}}[number]
-        for name, width in widths.items():
-            at = 0
-            for r, p in zip(rows, parts):
-                copies.append((f"{number}-{r[0]}.{name}", f"{number}.{name}", at))
-                at += width * p[{"low": "low_words", "high": "high_words"}.get(name, "n")]
-            with open(f"{folder}/{number}.{name}", "wb") as f:
-                f.truncate(at)
+    parts = [r[1] for r in rows]
+    with open(f"{folder}/{level}.json", "w") as f:
+        json.dump(parts, f)
+    widths = {"low": 8, "high": 8}
+    widths |= {1: {"count": 4}, 2: {"count": 4, "code": 1}, 3: {"code": 1}}[level]
+    for name, width in widths.items():
+        at = 0
+        for r, p in zip(rows, parts):
+            copies.append((f"{level}-{r[0]}.{name}", f"{level}.{name}", at))
+            at += width * p[{"low": "low_words", "high": "high_words"}.get(name, "n")]
+        with open(f"{folder}/{level}.{name}", "wb") as f:
+            f.truncate(at)
     if copies:
         names = spark.createDataFrame(copies, "source string, target string, at long").repartition(min(len(copies), 64))
         names.mapInArrow(joined_rows(folder), "source string").collect()
         for source, _, _ in copies:
             os.remove(f"{folder}/{source}")
-    for number in (level, 4) if level == 3 else (level,):
-        high = np.memmap(f"{folder}/{number}.high", U64, "r") if os.path.getsize(f"{folder}/{number}.high") else np.zeros(0, U64)
-        zeros, so_far = np.lib.format.open_memmap(f"{folder}/{number}.zeros.npy", "w+", U64, (len(high),)) if len(high) else high, 0
-        for k in range(0, len(high), 1 << 20):
-            z = (64 - np.bitwise_count(high[k : k + (1 << 20)]).astype(np.int64)).cumsum()
-            zeros[k] = so_far
-            zeros[k + 1 : k + len(z)] = so_far + z[:-1]
-            so_far += int(z[-1])
-        np.asarray(zeros).tofile(f"{folder}/{number}.zeros")
-        if len(high):
-            os.remove(f"{folder}/{number}.zeros.npy")
+    high = np.memmap(f"{folder}/{level}.high", U64, "r") if os.path.getsize(f"{folder}/{level}.high") else np.zeros(0, U64)
+    zeros, so_far = np.lib.format.open_memmap(f"{folder}/{level}.zeros.npy", "w+", U64, (len(high),)) if len(high) else high, 0
+    for k in range(0, len(high), 1 << 20):
+        z = (64 - np.bitwise_count(high[k : k + (1 << 20)]).astype(np.int64)).cumsum()
+        zeros[k] = so_far
+        zeros[k + 1 : k + len(z)] = so_far + z[:-1]
+        so_far += int(z[-1])
+    np.asarray(zeros).tofile(f"{folder}/{level}.zeros")
+    if len(high):
+        os.remove(f"{folder}/{level}.zeros.npy")
     return rows
 
 
@@ -354,7 +340,7 @@ def build(spark: SparkSession, docs: DataFrame) -> str:
 
     even = np.array([(i << 64) // parts for i in range(parts)], U64)
     rows = _build(spark, docs, folder, 1, even, 1 << 64)
-    size, n = sum(r[1][0]["n"] for r in rows), sum(r[2] for r in rows)
+    size, n = sum(r[1]["n"] for r in rows), sum(r[2] for r in rows)
     totals(1, words=size, tokens=n)
     # pairs of a word are as many as its occurrences: cut at even shares, a frequent word's by successor
     count = np.memmap(f"{folder}/1.count", np.uint32, "r") if size else np.zeros(0, np.uint32)
@@ -371,15 +357,14 @@ def build(spark: SparkSession, docs: DataFrame) -> str:
             share = 1 - (run[i] - (g - edge[k])) / max(int(count[k * chunk + i]), 1)
             cuts.add((k * chunk + i) * size + int(np.clip(share, 0, 1) * size) * (int(count[k * chunk + i]) * parts > n))
     rows = _build(spark, docs, folder, 2, np.array(sorted(cuts), U64), max(size * size, 1))
-    pairs = sum(r[1][0]["n"] for r in rows)
+    pairs = sum(r[1]["n"] for r in rows)
     totals(2, words=size, tokens=n, pairs=pairs)
     base, marks = 0, []
     for r in rows:
         marks += [((base + m[0]) << RANK_BITS, m[1]) for m in r[3]]
-        base += r[1][0]["n"]
+        base += r[1]["n"]
     rows = _build(spark, docs, folder, 3, _cuts(marks, parts), max(pairs, 1) << RANK_BITS)
-    totals(3, words=size, tokens=n, pairs=pairs, triples=sum(r[1][0]["n"] for r in rows))
-    os.remove(f"{folder}/2.count")
+    totals(3, words=size, tokens=n, pairs=pairs, triples=sum(r[1]["n"] for r in rows))
     return url
 
 
@@ -404,11 +389,9 @@ def score_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 context = np.concatenate(([-1], place[:-1]))
                 at = np.flatnonzero(inner2 & (context >= 0))
                 if len(at):
-                    wanted, which = np.unique(context[at].astype(U64), return_inverse=True)
-                    where, known = trie.contexts.sequence.successor(wanted)
-                    total = np.where(known, trie.contexts.beside["count"][np.minimum(where, max(trie.contexts.sequence.n - 1, 0))] if trie.contexts.sequence.n else 0, 0)[which]
+                    total = trie.levels[1].beside["count"][context[at]].astype(np.float64)
                     p[at] *= TRIPLE_PRIOR / (total + TRIPLE_PRIOR)
-                    at = at[(total > 0) & (place[at] >= 0)]
+                    at = at[place[at] >= 0]
                     keys, which = np.unique((context[at].astype(U64) << U64(RANK_BITS)) | rank[at].astype(U64), return_inverse=True)
                     where, known = trie.levels[2].sequence.successor(keys)
                     stored = trie.levels[2].beside["code"]

@@ -106,3 +106,37 @@ def test_nothing_to_learn_from(spark):
     assert T.score(spark, df.limit(0)).count() == 0
     one = spark.createDataFrame([(None, None)], "doc_id long, text string")
     assert [r.n_known for r in T.score(spark, one).collect()] == [1]
+
+
+def brute_all(rows):
+    """The scores when triples that occur once are counted too."""
+    train = [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    one, two, three = (Counter(x for w in train for x in zip(*(w[j:] for j in range(n)))) for n in (1, 2, 3))
+    total = Counter()
+    for (a, b, _), c in three.items():
+        total[a, b] += c
+    n, v = sum(one.values()), len(one)
+    p1 = lambda w: (one[w,] + 0.5) / (n + 0.5 * (v + 1))
+
+    def smoothed(c, prior, lower, context):
+        return quantised((c + prior * lower) / (context + prior)) if c else prior / (context + prior) * lower
+
+    p2 = lambda u, w: smoothed(two[u, w], T.PAIR_PRIOR, p1(w), one[u,])
+    p3 = lambda u, v, w: smoothed(three[u, v, w], T.TRIPLE_PRIOR, p2(v, w), total[u, v])
+    return {i: sum(math.log10([p1, p2, p3][min(k, 2)](*w[max(k - 2, 0) : k + 1])) for k in range(len(w))) for i, t in rows for w in [words(t)]}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_triples_seen_once_count(spark, parts):
+    rng = random.Random(6)
+    some = [rng.choice(["a", "B", "b", "é"]) + str(int(rng.paretovariate(0.7)) % 300) for _ in range(400)]
+    texts = [" ".join(rng.choice(some[:20] if rng.random() < 0.6 else some) for _ in range(rng.randrange(0, 120))) for _ in range(80)]
+    texts += [t[-200:] for t in texts[:20]] + [None, "", "solo", "x " * 500, "once upon time", "once upon time"]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {r.doc_id: r.score for r in T.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = brute_all(list(enumerate(texts)))
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), rtol=1e-6)
