@@ -24,12 +24,10 @@ HEX = re.compile(rb"[0-9a-f]{32,}")
 RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 STEMS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 
-#: Digests (by length in hex), UUIDs, plain numbers, dates, dotted or slashed names: not secrets by themselves.
+#: Digests (by length in hex) and UUIDs: not secrets by themselves.
 DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
-NAME = re.compile(rb"(?:[A-Za-z]+[0-9]{0,4}[-_/=+]+)*[A-Za-z]+[0-9]{0,4}\Z")
-NUMBER = re.compile(rb"[0-9+/_=-]+\Z")
 LEAST_CHARS_A_TOKEN = 2.0
 
 _encodings: dict[str, object] = {}
@@ -47,14 +45,12 @@ def encoding(path: str) -> object:
     return _encodings[path]
 
 
-def is_random(run: bytes, before: bytes, after: bytes, path: str) -> bool:
-    """Whether a run of token characters is a random string; before and after: the bytes around it."""
+def is_random(run: bytes, path: str) -> bool:
+    """Whether a run of token characters is a random string, wherever it stands."""
     if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
         return False
-    if (len(run) in DIGEST_LENGTHS and DIGEST.match(run)) or UUID.match(run) or NAME.match(run) or NUMBER.match(run):
+    if (len(run) in DIGEST_LENGTHS and DIGEST.match(run)) or UUID.match(run):
         return False
-    if before[-1:] in b"@./:#?&%" and before or after[:1] in b"@:%?" and after or re.match(rb"\.[A-Za-z]", after):
-        return False  # part of an address, a link or a file name
     return len(run) < LEAST_CHARS_A_TOKEN * len(encoding(path).encode_ordinary(run.decode()))
 
 
@@ -69,7 +65,7 @@ def find(text: bytes, path: str) -> list[tuple[int, int, str, int]]:
     out += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     base = list(out)
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _, _ in base) and is_random(m.group(), text[: m.start()][-1:], text[m.end() : m.end() + 2], path):
+        if not any(a < m.end() and m.start() < b for a, b, _, _ in base) and is_random(m.group(), path):
             out.append((m.start(), m.end(), "random", m.start()))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
