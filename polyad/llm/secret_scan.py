@@ -2,7 +2,8 @@
 
 A vocabulary of byte pairs learned from real text spends few characters a token on random strings. Runs
 of 20 or more token characters with letters and digits are encoded; a run with fewer than two
-characters a token is a secret, unless it is a known kind of digest or identifier.
+characters a token is a secret, unless it is a known kind of digest or identifier. Where the whole run
+isn't one, the same is asked of every part of it between separators and of neighbouring parts joined.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 UUID = re.compile(rb"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}\Z")
 LEAST_CHARS_A_TOKEN = 2.0
+#: Of digits in hex alone: random ones take 1.66 on average.
+HEX_CHARS_A_TOKEN = 2.5
+LEAST_CHARS = 20
+HEX_RUN = re.compile(rb"[0-9A-Fa-f]{20,}\Z")
+PIECE = re.compile(rb"[=/_-]+|[^=/_-]+")
+ANY_UUID = re.compile(rb"(?<![^=/_-])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![^=/_-])")
 
 _encodings: dict[str, object] = {}
 
@@ -45,13 +52,64 @@ def encoding(path: str) -> object:
     return _encodings[path]
 
 
-def is_random(run: bytes, path: str) -> bool:
-    """Whether a run of token characters is a random string, wherever it stands."""
-    if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
-        return False
-    if (len(run) in DIGEST_LENGTHS and DIGEST.match(run)) or UUID.match(run):
-        return False
-    return len(run) < LEAST_CHARS_A_TOKEN * len(encoding(path).encode_ordinary(run.decode()))
+def mixed(s: bytes) -> bool:
+    return bool(re.search(rb"[0-9]", s) and re.search(rb"[A-Za-z]", s))
+
+
+def is_known(s: bytes) -> bool:
+    return bool((len(s) in DIGEST_LENGTHS and DIGEST.match(s)) or UUID.match(s))
+
+
+def excess(s: bytes, path: str) -> float:
+    """Characters that a string lacks to be as long as its tokens ask of text: above 0 if it is random."""
+    least = HEX_CHARS_A_TOKEN if HEX_RUN.match(s) and mixed(s) else LEAST_CHARS_A_TOKEN
+    return least * len(encoding(path).encode_ordinary(s.decode())) - len(s)
+
+
+def random_parts(run: bytes, path: str) -> list[tuple[int, int]]:
+    """(start, end) of the random strings in a run of token characters, wherever it stands.
+
+    That is the run itself, or else the joined parts of the most excess, and so on to their left and right.
+    Separators are tokens of their own, so the excess of joined parts is the sum of theirs.
+    """
+    if not mixed(run) or is_known(run):
+        return []
+    if excess(run, path) > 0:
+        return [(0, len(run))]
+    uuids = [m.span() for m in ANY_UUID.finditer(run)]
+    pieces = [(m.start(), m.end(), m.group()) for m in PIECE.finditer(run)]
+    stretches, u = [[]], 0
+    for start, end, s in pieces:
+        while u < len(uuids) and uuids[u][1] <= start:
+            u += 1
+        if (u < len(uuids) and uuids[u][0] < end) or is_known(s):
+            stretches.append([])
+        else:
+            stretches[-1].append((start, end, excess(s, path), s[:1] not in b"=/_-", bool(re.search(rb"[0-9]", s)), bool(re.search(rb"[A-Za-z]", s))))
+    out = []
+    todo = [x for x in stretches if x]
+    while todo:
+        x = todo.pop()
+        if x[-1][1] - x[0][0] < LEAST_CHARS:
+            continue
+        sums = [0.0]
+        for p in x:
+            sums.append(sums[-1] + p[2])
+        best, low, nxt, digit, letter = (0.0, 0, 0), -1, 0, -1, -1
+        for j, p in enumerate(x):
+            digit, letter = j if p[4] else digit, j if p[5] else letter
+            # starts that leave enough characters, a letter and a digit
+            while nxt <= min(digit, letter) and p[1] - x[nxt][0] >= LEAST_CHARS:
+                if x[nxt][3] and (low < 0 or sums[nxt] <= sums[low]):
+                    low = nxt
+                nxt += 1
+            if low >= 0 and p[3] and sums[j + 1] - sums[low] > best[0]:
+                best = (sums[j + 1] - sums[low], low, j + 1)
+        if best[0] > 0:
+            _, i, j = best
+            out.append((x[i][0], x[j - 1][1]))
+            todo += [y for y in (x[:i], x[j:]) if y]
+    return sorted(out)
 
 
 def find(text: bytes, path: str) -> list[tuple[int, int, str, int]]:
@@ -65,8 +123,8 @@ def find(text: bytes, path: str) -> list[tuple[int, int, str, int]]:
     out += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     base = list(out)
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _, _ in base) and is_random(m.group(), path):
-            out.append((m.start(), m.end(), "random", m.start()))
+        if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
+            out += [(m.start() + a, m.start() + b, "random", m.start() + a) for a, b in random_parts(m.group(), path)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -129,3 +129,28 @@ def test_neighbours_hide_no_secret():
         assert sum(caught(form.format(s), s) for s in secrets) >= 48, form
     for known in ("D41D8CD98F00B204E9800998ECF8427E", "123e4567-e89b-12d3-a456-426614174000"):
         assert not [s for s in secret_scan.find(f"x:{known}@y".encode(), VOCAB) if s[2] == "random"]
+
+
+def test_names_and_hex_hide_no_secret():
+    rng = random.Random(8)
+    for glue, n in (("authorization-credentials=", 20), ("authorization-credentials=", 24), ("https_internal_service_account/", 20), ("https_internal_service_account/", 32), ("aws_session_credential=", 20)):
+        secrets = [base62(rng, n) for _ in range(200)]
+        assert sum(caught(f"see {glue}{s} here", s) for s in secrets) >= 188, (glue, n)
+        assert sum(caught(f"see {s}/internal_service_documentation here", s) for s in secrets) >= 188, n
+    for n in (20, 24, 28):
+        secrets = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for _ in range(200)]
+        assert sum(caught(f"see {s} here", s) for s in secrets) >= 198, n
+        assert sum(caught(f"internal-service-account/{s}", s) for s in secrets) >= 198, n
+    joined = [f"{base62(rng, 8)}-{base62(rng, 8)}-{base62(rng, 8)}" for _ in range(100)]
+    assert sum(caught(f"internal_service_documentation/{s}", s) for s in joined) >= 90
+    clean = ["international_documentation/123e4567-e89b-12d3-a456-426614174000/information", "documentation_of_digest/D41D8CD98F00B204E9800998ECF8427E", "some_long_identifier_name_v2/internationalization2024release"]
+    for text in clean:
+        assert not [s for s in secret_scan.find(f"x {text} y".encode(), VOCAB) if s[2] == "random"], text
+
+
+def test_long_runs_are_searched_whole():
+    rng = random.Random(9)
+    secrets = [base62(rng, 40) for _ in range(300)]
+    text = "".join(f"international_documentation/internal_service_documentation/{s}/" for s in secrets)
+    found = {text[a:b] for a, b, _, _ in secret_scan.find(text.encode(), VOCAB)}
+    assert len(found.intersection(secrets)) >= 290
