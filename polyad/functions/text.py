@@ -12,9 +12,10 @@ SENTENCE_END = r"[.!?\n]+"
 TOKEN = r"[\p{L}\p{N}]+"
 
 
-def usable_texts(df: DataFrame, text: str = "text", longest: int = 50_000) -> DataFrame:
-    """Rows whose text has between 1 and ``longest`` characters."""
-    return df.filter(F.length(text).between(1, longest))
+def usable_texts(df: DataFrame, text: str = "text", longest: int | None = None) -> DataFrame:
+    """Rows whose text has 1 character or more, and at most ``longest`` where that is given."""
+    size = F.length(text)
+    return df.filter(size >= 1 if longest is None else size.between(1, longest))
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", ends: str = SENTENCE_END) -> DataFrame:

@@ -15,13 +15,13 @@ def text_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ngram_rows(texts: DataFrame, n: int, key: str = "doc_id", text: str = "text", longest: int = 50_000) -> DataFrame:
+def ngram_rows(texts: DataFrame, n: int, key: str = "doc_id", text: str = "text", longest: int | None = None) -> DataFrame:
     """Texts to (key, sent_pos, w1..wn); the same expressions for batches and streams."""
     split = sentences(usable_texts(texts, text, longest), key, text)
     return ngrams(tokens(split).select(key, "sent_pos", "tokens"), n)
 
 
-def start_ingest(texts: DataFrame, orders: tuple[int, ...], folder: str, checkpoint: str, key: str = "doc_id", text: str = "text", longest: int = 50_000, rows_per_file: int = 5_000_000, target_rows: int | None = None) -> StreamingQuery:
+def start_ingest(texts: DataFrame, orders: tuple[int, ...], folder: str, checkpoint: str, key: str = "doc_id", text: str = "text", longest: int | None = None, rows_per_file: int = 5_000_000, target_rows: int | None = None) -> StreamingQuery:
     """Writes each order's n-grams of the available data; one pass over a micro-batch's tokens serves all orders.
 
     A repeated micro-batch replaces its own folder (batch=<id>), which makes the write idempotent. Once

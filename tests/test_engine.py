@@ -327,3 +327,12 @@ def test_settings():
         config.ngram_orders("trigram")
     with pytest.raises(config.argparse.ArgumentTypeError):
         config.parse_bool("perhaps")
+
+
+def test_long_texts_are_kept(spark, tmp_path):
+    texts = ["a b c. " * 10_000, "a b c", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in T.usable_texts(df).orderBy("doc_id").collect()] == [0, 1]
+    counts = {name: registry.queries()[name](spark, str(tmp_path)).agg({"cnt": "sum"}).first()[0] for name in ("trigram_counts", "stream_trigram_counts")}
+    assert counts == {"trigram_counts": 10_001, "stream_trigram_counts": 20_002}
