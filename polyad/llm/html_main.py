@@ -3,7 +3,8 @@
 Every block with text passes points for its length and commas to its parent, half to the grandparent, less
 further up, discounted by the share of its text in links. The container with the most points, discounted by
 its own links, is the article; siblings of enough points or with real sentences stay with it. What is
-marked as menu, header, footer, sidebar, notice, advert, form, script, style or comments is cut before.
+marked as menu, header, footer, sidebar, notice, advert, form, script, style or comments is cut before,
+unless it holds the article, or most of the unlinked text of a page that marks no article.
 """
 
 from __future__ import annotations
@@ -42,35 +43,37 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 SIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense adunit sponsor sponsored sponsors promo promos promotion promoted banner banners sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations comment comments disqus respond replies reply widget widgets toolbar pagination pager skip outbrain taboola".split()
 )
-#: What may be cut by name only where it doesn't hold the page's own marks.
+#: What may be cut only where it doesn't hold the page's own marks: anything marked by name or role, and these.
 CENTRAL = frozenset(["article", "main", "h1"])
+CAN_WRAP = frozenset(["form"])
 
 
 class Node:
-    __slots__ = ("attributes", "central", "chars", "commas", "cut", "holds", "index", "links", "parent", "score", "tag")
+    __slots__ = ("attributes", "central", "chars", "commas", "cut", "hidden", "holds", "index", "links", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, index: int) -> None:
         self.tag, self.parent, self.index = tag, parent, index
-        self.cut = self.holds = False
+        self.cut = self.hidden = self.holds = False
         self.central = (parent is not None and parent.central) or tag in ("article", "main")
         self.chars = self.links = self.commas = 0
         self.score = 0.0
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether names or roles mark an element as no part of an article."""
+def _marked(tag: str, attributes: str, inside: bool) -> str:
+    """"hidden", or "side" where names or roles mark an element as no part of an article."""
+    found = ""
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
+            return "hidden"
         if name == "role" and value.lower() in ROLES:
-            return True
+            found = "side"
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(word)]
                 if any(p in SIDE_NAMES for p in (parts if tag != "article" else ["".join(parts)])) and not (inside and parts[-1:] == ["header"]):
-                    return True
-    return False
+                    found = "side"
+    return found
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
@@ -142,8 +145,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         nodes.append(node)
         attributes = m.group(2)
         side = tag in CUT or (tag == "header" and not node.central)
-        named = bool(attributes) and _marked(tag, attributes, node.central)
-        node.cut = side or named
+        named = _marked(tag, attributes, node.central) if attributes else ""
+        node.cut, node.hidden = side or bool(named), named == "hidden"
         if tag in CENTRAL and not (named and tag == "article"):
             up = node.parent
             while up is not None and not up.holds:
@@ -160,13 +163,44 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     return nodes, texts
 
 
+def spare_wrappers(nodes: list[Node], texts: list[tuple[Node, str, bool]]) -> None:
+    """Clears the mark of elements that hold the article, or most of the page's unlinked text outside what is cut."""
+    for n in nodes:
+        if n.cut and n.holds and (n.tag not in CUT or n.tag in CAN_WRAP):
+            n.cut = False
+    # what is cut for good, and what marks the article elsewhere
+    gone, lost, site = ([False] * len(nodes) for _ in range(3))
+    marks = set()
+    for n in nodes:
+        i, up = n.index, n.parent.index if n.parent is not None else 0
+        gone[i] = gone[up] or (n.cut and (n.hidden or (n.tag in CUT and n.tag not in CAN_WRAP)))
+        lost[i] = lost[up] or n.cut
+        site[i] = site[up] or (n.tag == "header" and not n.central)
+        if n.tag in CENTRAL and not lost[i] and not (n.tag == "h1" and site[i]):
+            marks.add(n.tag)
+    wrappers = [n for n in nodes if n.cut and not gone[n.index] and (n.tag in CAN_WRAP or not marks)]
+    if not wrappers or marks & {"article", "main"}:
+        return
+    own = [0] * len(nodes)
+    for n, text, link in texts:
+        if not link and not gone[n.index] and text != "\0":
+            own[n.index] += len(text.strip())
+    for n in reversed(nodes):
+        if n.parent is not None:
+            own[n.parent.index] += own[n.index]
+    for n in wrappers:
+        if 2 * own[n.index] > own[0]:
+            n.cut = False
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one space for white space inside, two line feeds between."""
     if not html:
         return ""
     nodes, texts = parse(html)
+    spare_wrappers(nodes, texts)
     for n in nodes:
-        n.cut = (n.parent is not None and n.parent.cut) or (n.cut and not (n.holds and n.tag not in CUT))
+        n.cut = n.cut or (n.parent is not None and n.parent.cut)
     blocks: dict[int, Node] = {}
 
     def block_of(n: Node) -> Node:

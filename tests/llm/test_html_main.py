@@ -50,3 +50,14 @@ def test_random_pages(spark):
     assert [r.text for r in out] == [*want, ""]
     assert all(r.n_chars == len(r.text) for r in out)
     assert extract(spark, df.limit(0)).count() == 0
+
+
+def test_wrappers_are_not_cut():
+    text = f"<p>{P1}</p><p>{P1}</p><p>{P1}</p>"
+    want = "\n\n".join([P1] * 3)
+    around = "<body><nav><a href=/>Home</a></nav>{}<div class=footer><p>Imprint, privacy, and terms of use.</p></div></body>"
+    for body in (f"<form id=aspnetForm><article>{text}</article></form>", f"<form><div>{text}</div></form>", f"<div class=page-with-sidebar><div>{text}</div></div>", f"<div class=content-widget>{text}</div>", f"<form><div class=content-widget>{text}</div><div class=sidebar>Popular, posts</div></form>", f"<header><h1>Site</h1></header><form>{text}</form>"):
+        assert main_text(around.format(body)).split("Site\n\n")[-1] == want, body
+    assert main_text(around.format(f"<article>{text}</article><form><p>{'Your name, please. ' * 50}</p></form>")) == want
+    assert main_text(around.format(f"<h1>Head</h1>{text}<div class=comments><p>{'Great, really. ' * 50}</p></div>")) == f"Head\n\n{want}"
+    assert main_text(around.format(f"<div>{text}</div><div style='display:none'><p>{'Hidden, all of it. ' * 50}</p></div>")) == want
