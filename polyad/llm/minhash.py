@@ -238,7 +238,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     seen = seen.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     seen = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     seen = seen.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "center")
-    seen = seen.join(signed.select("doc_id", "minima").join(copies.select("doc_id"), "doc_id", "left_anti"), "doc_id").select("key", "band", "i", "j", "block", "doc_id", "comp", "center", "minima")
+    seen = seen.join(distinct, "doc_id").select("key", "band", "i", "j", "block", "doc_id", "comp", "center", "minima")
     kinds = "key long, band int, i int, j int, block int, doc_id long, comp long, center long, minima binary"
     grouping = [F.col(c) for c in BLOCK_KEYS]
     suspects = scratch.save(seen.repartition(*grouping).sortWithinPartitions(*grouping).mapInArrow(suspect_rows, kinds), "minhash-suspects")

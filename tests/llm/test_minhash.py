@@ -87,3 +87,19 @@ def test_long_text(spark, n):
     long = " ".join(str(i) for i in range(200_000))
     rows = [(1, long), (2, long + " x"), (3, "y " * 300_000)]
     assert [c for _, _, c in run(spark, rows[n:])] == ([1, 1, 3] if not n else [2, 3])
+
+
+def test_second_row_of_an_id_is_a_copy(spark):
+    rng = random.Random(10)
+    hub = [str(rng.random()) for _ in range(60)]
+
+    def altered(words, n):
+        words = list(words)
+        for at in rng.sample(range(60), n):
+            words[at] = str(rng.random())
+        return words
+
+    rows = [(i, " ".join(altered(hub, 7))) for i in range(150)]  # smallest of the buckets, linked with nothing
+    # a pair that only the comparison in blocks finds; its first id's other text is a copy
+    rows += [(1000, " ".join(hub)), (2000, " ".join(altered(hub, 2))), (1000, "a copied text"), (500, "a copied text")]
+    assert run(spark, rows) == brute(rows)
