@@ -4,7 +4,8 @@ Texts with equal shingle sets fall together by a 128-bit digest of the set; the
 each set. Banded minima give buckets. First every bucket member is held against the bucket's smallest id
 (a star: linear in the members), by signature and then by full set. Buckets whose members are then in one
 component are done. In the others, members of different components are compared in blocks, so that no
-link is lost and no list of pairs is written. A block reports links only.
+link is lost and no list of pairs is written. A block reports links only. Sets more than a quarter apart in
+size can't link, so a member meets only those of its own class of sizes and of the next one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ MINIMA = BANDS * ROWS
 AGREE = 48
 PERCENT = 80
 #: Rows compared at a time in one task: a hub's members by set, a bucket's by signature.
-FAN, BLOCK = 64, 512
+FAN, BLOCK = 64, 1024
+#: Copies of a hub's minima: one for so many members of its buckets.
+HUB_MEMBERS = 4096
 SALTS = 8
+#: Sizes of linked sets differ by 100 / PERCENT at most: by one step of this logarithm.
+SIZE_STEP = 0.2232
 
 _rng = np.random.default_rng(80)
 _A = _rng.integers(1, 1 << 63, MINIMA, dtype=U64) * U64(2) + U64(1)
@@ -127,16 +132,20 @@ def star_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(group: pa.Table) -> np.ndarray:
-    """Pairs of rows of a block group to compare by set, as row numbers."""
+    """Pairs of rows of a block group to compare by set, as row numbers.
+
+    A group holds the members of a size class and of the next; a pair of the next class alone is another group's.
+    """
     sig, comp = _signatures(group.column("minima")), group.column("comp").to_numpy()
     ids, band, center = group.column("doc_id").to_numpy(), group.column("band")[0].as_py(), group.column("center")[0].as_py()
     side, i, j = group.column("block").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    own = group.column("size").to_numpy() == group.column("low")[0].as_py()
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     out = []
     for x in left:
         if ids[x] == center:
             continue
-        y = right[(comp[right] != comp[x]) & (ids[right] != center) & ((i != j) | (right > x))]
+        y = right[(comp[right] != comp[x]) & (ids[right] != center) & ((i != j) | (right > x)) & (own[right] | own[x])]
         if not len(y):
             continue
         same = sig[y] == sig[x]
@@ -149,7 +158,7 @@ def _candidates(group: pa.Table) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-BLOCK_KEYS = ["key", "band", "i", "j"]
+BLOCK_KEYS = ["key", "band", "low", "i", "j"]
 
 
 def suspect_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +186,7 @@ def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_sets(docs: DataFrame, rows: DataFrame, key: str, schema: str) -> DataFrame:
-    """The rows with the shingle set of the document whose id is in ``key``.
+    """The rows (a written table) with the shingle set of the document whose id is in ``key``.
 
     Texts that no row asks for stay where they are, but for a few that the bitmap can't tell apart. The
     join hashes the narrow side, so that texts aren't sorted.
@@ -188,15 +197,18 @@ def _with_sets(docs: DataFrame, rows: DataFrame, key: str, schema: str) -> DataF
 
 
 def _star_links(docs: DataFrame, signed: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Which of the pairs (a, c) are links; c may be the hub of many."""
+    """Which of the pairs (a, c, parts) are links; c may be the hub of many, so it stands ``parts`` times."""
     half = signed.select("doc_id", "minima")
-    pairs = half.select(F.col("doc_id").alias("a"), F.col("minima").alias("left")).join(pairs.hint("shuffle_hash"), "a")
-    pairs = half.select(F.col("doc_id").alias("c"), F.col("minima").alias("right")).join(pairs.hint("shuffle_hash"), "c")
+    salt = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt")
+    hubs = pairs.select("c", "parts").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hubs = half.select(F.col("doc_id").alias("c"), F.col("minima").alias("right")).join(hubs.hint("shuffle_hash"), "c")
+    pairs = half.select(F.col("doc_id").alias("a"), F.col("minima").alias("left")).join(pairs.select("a", "c", "parts", salt).hint("shuffle_hash"), "a")
+    pairs = pairs.join(hubs, ["c", "parts", "salt"])
     pairs = scratch.save(pairs.select("a", "c", "left", "right").mapInArrow(alike_rows, "a long, c long").distinct(), "minhash-alike")
     spread = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("n"))
     members = pairs.join(spread, "c").select("c", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("salt"), F.col("a").alias("id"))
     hubs = members.select("c", "salt").distinct().withColumn("id", F.col("c"))
-    rows = _with_sets(docs, members.union(hubs), "id", "c long, salt int, id long, keys binary")
+    rows = _with_sets(docs, scratch.save(members.union(hubs), "minhash-members"), "id", "c long, salt int, id long, keys binary")
     return rows.repartition("c", "salt").sortWithinPartitions("c", "salt").mapInArrow(star_rows, "a long, b long")
 
 
@@ -219,7 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = classes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).drop("n")
     copies = usable.select("doc_id", *digest, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(classes, [*digest, "salt"])
     copies = scratch.save(copies.filter("doc_id <> first").select("doc_id", *digest, "first"), "minhash-copies")
-    distinct = usable.join(copies, ["doc_id", *digest], "left_anti").select("doc_id", "minima")
+    distinct = usable.join(copies, ["doc_id", *digest], "left_anti").select("doc_id", "minima", "n_shingles")
 
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     bands = distinct.select("doc_id", "minima", band)
@@ -227,19 +239,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     buckets = bands.groupBy("key", "band").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     crowded = scratch.save(bands.join(buckets, ["key", "band"]), "minhash-buckets")
 
-    stars = crowded.filter("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("c")).distinct()
+    parts = F.max(F.ceil(F.col("n") / HUB_MEMBERS).cast("int")).alias("parts")
+    stars = crowded.filter("doc_id <> center").groupBy(F.col("doc_id").alias("a"), F.col("center").alias("c")).agg(parts)
     links = scratch.save(_star_links(docs, signed, stars, scratch), "minhash-links")
 
     first = scratch.save(components(links, scratch, "minhash-first"), "minhash-stars")
     seen = crowded.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     open_ = seen.groupBy("key", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", "band")
-    seen = seen.join(open_, ["key", "band"]).filter("n > 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    seen = seen.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    seen = seen.join(open_, ["key", "band"]).filter("n > 2").select("key", "band", "doc_id", "comp", "center")
+    seen = seen.join(distinct.select("doc_id", F.floor(F.log("n_shingles") / SIZE_STEP).cast("int").alias("size")), "doc_id")
+    # a member stands in the group of its size class and in that of the class before
+    seen = seen.withColumn("low", F.explode(F.array(F.col("size") - 1, F.col("size"))))
+    crowd = seen.groupBy("key", "band", "low").agg(F.count(F.lit(1)).alias("m"), F.min("size").alias("least")).filter("m > 1 AND least = low")
+    seen = seen.join(crowd.select("key", "band", "low", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), ["key", "band", "low"])
+    seen = seen.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     seen = seen.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    seen = seen.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "center")
-    seen = seen.join(distinct, "doc_id").select("key", "band", "i", "j", "block", "doc_id", "comp", "center", "minima")
-    kinds = "key long, band int, i int, j int, block int, doc_id long, comp long, center long, minima binary"
+    seen = seen.select("key", "band", "low", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "size", "doc_id", "comp", "center")
+    seen = distinct.select("doc_id", "minima").join(seen.hint("shuffle_hash"), "doc_id").select("key", "band", "low", "i", "j", "block", "size", "doc_id", "comp", "center", "minima")
+    kinds = "key long, band int, low int, i int, j int, block int, size int, doc_id long, comp long, center long, minima binary"
     grouping = [F.col(c) for c in BLOCK_KEYS]
     suspects = scratch.save(seen.repartition(*grouping).sortWithinPartitions(*grouping).mapInArrow(suspect_rows, kinds), "minhash-suspects")
     more = _with_sets(docs, suspects, "doc_id", f"{kinds}, keys binary")
@@ -247,26 +264,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     edges = links.union(more).union(copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
     last = scratch.save(components(edges, scratch, "minhash-last"), "minhash-components").withColumnRenamed("node", "doc_id")
-    scratch.drop("minhash-buckets", "minhash-suspects", "minhash-alike", "minhash-more", "minhash-links", "minhash-copies", "minhash-stars")
+    scratch.drop("minhash-buckets", "minhash-suspects", "minhash-alike", "minhash-members", "minhash-more", "minhash-links", "minhash-copies", "minhash-stars")
     out = signed.select("doc_id", "n_shingles").join(last, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _comparable(docs: DataFrame) -> list[str]:
+    """Columns that tell rows apart, for dropDuplicates: maps and the like stand as JSON."""
+    from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+    def plain(t: DataType) -> bool:
+        if isinstance(t, ArrayType):
+            return plain(t.elementType)
+        if isinstance(t, StructType):
+            return all(plain(f.dataType) for f in t)
+        return not isinstance(t, MapType) and t.typeName() != "variant"
+
+    return [f.name for f in docs.schema if not plain(f.dataType)]
+
+
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without those that have a smaller id in their component; all columns stay.
 
-    Of rows that share a doc_id and every other value one stays; rows without doc_id all stay.
+    Of rows that share a doc_id and every other value one stays; rows without doc_id all stay, equal ones too.
     """
     scratch = Scratch(spark)
     found = scratch.save(near_duplicates(spark, docs), "minhash-kept")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = scratch.save(gone, "minhash-gone")
+    asked = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_asked")).agg(F.bool_or(~F.col("kept")).alias("_gone"), (F.count(F.lit(1)) > 1).alias("_again"))
+    asked = scratch.save(asked.filter("_gone OR _again"), "minhash-asked")
     name = next(f"_at{i}" for i in range(99) if not any(c.startswith(f"_at{i}") for c in docs.columns))
-    told = marked(docs.withColumn(f"{name}id", F.col("doc_id").cast("long")), f"{name}id", gone, "_gone", name)
-    asked = told.filter(name).join(gone.hint("shuffle_hash"), F.col(f"{name}id") == F.col("_gone"), "left_anti")
-    rest = told.filter(~F.col(name)).union(asked).drop(name, f"{name}id")
-    if found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").limit(1).count():
-        comparable = all(f.dataType.typeName() not in ("map", "variant") for f in docs.schema)
-        rest = rest.dropDuplicates() if comparable else rest.dropDuplicates(["doc_id", "text"])
-    return rest
+    told = marked(docs.withColumn(f"{name}id", F.col("doc_id").cast("long")), f"{name}id", asked, "_asked", name)
+    info = asked.select(F.col("_asked").alias(f"{name}asked"), F.col("_gone").alias(f"{name}gone"), F.col("_again").alias(f"{name}again"))
+    joined = told.filter(name).join(info.hint("shuffle_hash"), F.col(f"{name}id") == F.col(f"{name}asked"), "left").filter(~F.coalesce(f"{name}gone", F.lit(False)))
+    again = F.coalesce(f"{name}again", F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = told.filter(~F.col(name)).select(*columns)
+    if asked.filter("_again").limit(1).count():  # only rows whose id stands on several rows are held against each other
+        odd = {f"{name}j{i}": F.to_json(F.struct(F.col(f"`{c}`")), {"ignoreNullFields": "false"}) for i, c in enumerate(_comparable(docs))}
+        keys = [c for c in docs.columns if c not in _comparable(docs)] + list(odd)
+        twins = joined.filter(again).withColumns(odd) if odd else joined.filter(again)
+        return rest.union(joined.filter(~again).select(*columns)).union(twins.dropDuplicates(keys).select(*columns))
+    return rest.union(joined.select(*columns))

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..ship import ship
 
-#: Rows in one Arrow batch: bounds what a Python worker holds, whatever the partition's size.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch: bound what a Python worker holds, whatever the partition's size.
+ARROW_ROWS = 4096
 ARROW_BYTES = "16m"
 
 
@@ -24,15 +24,27 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local session (tests) gets a temporary one; a cluster is refused, since its executors
+    could not read a folder of this machine.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="polyad-scratch-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this package; results that still read them are lost."""
+    delete_path(spark, f"{shared_dir(spark)}/polyad")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/polyad/{name}-{uuid.uuid4().hex}"
 

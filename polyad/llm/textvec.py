@@ -18,7 +18,7 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes of text treated at a time; a longer text is a slice of its own.
+#: Bytes of text treated at a time; a longer text is a slice of its own, hashed in stretches of this size.
 SLICE_BYTES = 1 << 20
 
 _rng = np.random.default_rng(20_24_11)
@@ -28,13 +28,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _powers[:] = []
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """SLICE_BYTES + 1 powers of the base and of its inverse modulo 2**64."""
+    if not _powers:
         for base in (_BASE, _INVERSE):
-            out = np.full(size, base, U64)
+            out = np.full(SLICE_BYTES + 1, base, U64)
             out[0] = 1
             np.multiply.accumulate(out, out=out)
             _powers.append(out)
@@ -65,7 +63,6 @@ class Texts:
         self.data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
         if lower:
             self.data = LOWER[self.data]
-        self._sums = None
 
     def split(self, separators: np.ndarray = SPACE) -> Texts:
         """Fills starts, ends (of words in the bytes) and word_off (of texts in the words)."""
@@ -81,13 +78,37 @@ class Texts:
         self.word_off = np.searchsorted(self.starts, self.off)
         return self
 
+    def _stretches(self, at: np.ndarray) -> Iterator[tuple[slice, int, int]]:
+        """For each stretch of the bytes: which of the sorted places lie in it, where it begins and ends."""
+        size = len(self.data)
+        for begin in range(0, size + 1, SLICE_BYTES):
+            end = min(begin + SLICE_BYTES, size + 1)
+            a, b = np.searchsorted(at, (begin, end))
+            yield slice(a, b), begin, end
+
+    def _sums_at(self, at: np.ndarray) -> np.ndarray:
+        """Sums of code times power of the base over the bytes before each of the sorted places."""
+        power, _ = _power_tables()
+        out, total = np.zeros(len(at), U64), U64(0)
+        for rows, begin, end in self._stretches(at):
+            scale = U64(pow(_BASE, begin, 1 << 64))
+            piece = _CODE[self.data[begin:end]]
+            piece *= power[: len(piece)]
+            local = np.zeros(len(piece) + 1, U64)
+            np.cumsum(piece, out=local[1:])
+            out[rows] = local[at[rows] - begin] * scale + total
+            total = total + local[-1] * scale
+        return out
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand."""
-        power, inverse = _power_tables(len(self.data) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(_CODE[self.data] * power[: len(self.data)], out=self._sums[1:])
-        return mix((self._sums[ends] - self._sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+        """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand. Both limits rise."""
+        _, inverse = _power_tables()
+        with np.errstate(over="ignore"):
+            out = self._sums_at(ends)
+            out -= self._sums_at(starts)
+            for rows, begin, _ in self._stretches(starts):
+                out[rows] *= inverse[starts[rows] - begin] * U64(pow(_INVERSE, begin, 1 << 64))
+        return mix(out + (ends - starts).astype(U64))
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)

@@ -103,3 +103,25 @@ def test_second_row_of_an_id_is_a_copy(spark):
     # a pair that only the comparison in blocks finds; its first id's other text is a copy
     rows += [(1000, " ".join(hub)), (2000, " ".join(altered(hub, 2))), (1000, "a copied text"), (500, "a copied text")]
     assert run(spark, rows) == brute(rows)
+
+
+def test_rows_without_id_stay_beside_repeated_ids(spark):
+    rows = [(None, "a b c", {"k": 1}), (None, "a b c", {"k": 1}), (7, "x y", {"k": 1}), (7, "x y", {"k": 1}), (7, "x y", {"k": 2}), (8, "x y", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    got = sorted(((r.doc_id, r.text, r.m) for r in minhash.keep_first(spark, df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[2], rows[4]], key=str)
+    plain = df.drop("m")
+    assert sorted(map(tuple, minhash.keep_first(spark, plain).collect()), key=str) == sorted([(None, "a b c")] * 2 + [(7, "x y")], key=str)
+
+
+def test_sizes_at_the_limit_meet(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(21)
+    hub = [str(rng.random()) for _ in range(81)]
+    rows = []
+    for i in range(40):  # share bands with the smallest id, link with others of a quarter more or less
+        t = hub[: 65 + (i * 7) % 37]
+        for _ in range(i % 9):
+            t[rng.randrange(len(t))] = str(rng.random())
+        rows.append((i, " ".join(t)))
+    assert run(spark, rows) == brute(rows)
