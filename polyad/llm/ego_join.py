@@ -2,30 +2,37 @@
 
 On unit vectors a cosine of at least t is a distance of at most eps = sqrt(2 - 2t). Vectors are projected
 on the leading principal axes (which never lengthens a distance), ordered by the grid cells of side eps
-they fall in, and cut into sequences of that order. Two sequences whose boxes are further apart than eps
-have no link and never meet; the others are joined by halving both and skipping distant halves, down to
-small pieces that are compared as a matrix product. A task reports how many vectors each vector links
-with and what falls together, never the pairs.
+they fall in, and cut into sequences of that order. Inside a sequence vectors are sorted again, by halving
+it along the component in which each half varies most, down to leaves of LEAF vectors, each with a centre and a
+radius over all components. Two sequences meet only if two of their leaves may lie within eps, which is found
+from the leaves alone, a sixteenth of the data; so the vectors of a sequence travel once for each group of
+sequences that it has partners in. Sequences that meet are joined by halving both and skipping distant halves,
+down to pieces whose near leaves are compared as a matrix product. A task reports how many vectors each
+vector links with and what falls together, never the pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import Forest, components
-from .runtime import ARROW_ROWS, Scratch, tune
+from .graph import Forest, components, grouped
+from .runtime import Scratch, tune
 
 THRESHOLD = 0.93
-#: Principal axes of the grid; vectors of a sequence; vectors compared as one matrix product.
-AXES, SEQUENCE, PIECE = 6, 2048, 256
+#: Principal axes of the grid; vectors of a sequence, of a leaf; leaves compared as one matrix product.
+AXES, SEQUENCE, LEAF, PIECE = 6, 2048, 16, 16
+#: Neighbouring sequences that are shipped together.
+GROUP = 16
 SALTS = 8
-#: Rows of the pair table in one Arrow batch, each with two sequences.
-PAIR_ROWS = 4
+#: What rounding may take from a distance between centres in single precision.
+SLACK = 1e-4
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,25 +103,68 @@ def cell_rows(axes: dict[int, np.ndarray], eps: float) -> Callable[[Iterator[pa.
     return run
 
 
+@dataclass
+class Leaves:
+    """Consecutive rows of a sequence: leaf i holds rows limits[i] to limits[i + 1], within radius of its centre."""
+
+    limits: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+
+
+def leaf_order(x: np.ndarray) -> tuple[np.ndarray, Leaves]:
+    """An order of the rows in which near ones stand together, and its leaves."""
+    n, levels = len(x), max(0, (-(-len(x) // LEAF) - 1).bit_length())
+    size = LEAF << levels
+    at, real = np.minimum(np.arange(size), n - 1), np.arange(size) < n
+    for level in range(levels):
+        m = 1 << level
+        at, real = at.reshape(m, -1), real.reshape(m, -1)
+        block = x[at]
+        widest = block.var(1).argmax(1)
+        order = np.take_along_axis(block, widest[:, None, None], 2)[:, :, 0].argsort(1, kind="stable")
+        at, real = np.take_along_axis(at, order, 1), np.take_along_axis(real, order, 1)
+    real = real.ravel()
+    at, of = at.ravel()[real], np.repeat(np.arange(size // LEAF), LEAF)[real]
+    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    limits = np.concatenate((begin, [n]))
+    counts = np.diff(limits)
+    x = x[at]
+    centres = (np.add.reduceat(x, begin) / counts[:, None]).astype(np.float32)
+    away = np.sqrt(((x - np.repeat(centres, counts, 0)) ** 2).sum(1))
+    return at, Leaves(limits, centres, np.maximum.reduceat(away, begin).astype(np.float32))
+
+
+def near(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, eps: float) -> np.ndarray:
+    """Which balls (centres, radii) may hold points within eps of each other."""
+    square = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
+    reach = ra[:, None] + rb + np.float32(eps + SLACK)
+    return square <= reach * reach + np.float32(SLACK)
+
+
 def sequence_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs of SEQUENCE vectors of one label and length in grid order, each as one row with its box."""
+    """Runs of SEQUENCE vectors of one label and length in grid order, each as one row with its box and leaves.
+
+    grp numbers GROUP neighbouring sequences of one label and length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key: tuple[int, int] | None = None
-        count = 0
+        count = done = 0
+        task = TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            units = b"".join(t.column("unit").to_pylist())
-            at = np.frombuffer(units, np.float64).reshape(t.num_rows, key[1]) @ axes[key[1]]
-            at = np.pad(at, ((0, 0), (0, AXES - at.shape[1])))
-            first = t.column("id")[0].as_py()
-            ids, n = (t.column(c).to_numpy().astype(np.int64).tobytes() for c in ("id", "n"))
-            values = [[first], [key[0]], [key[1]], [at.min(0).tolist()], [at.max(0).tolist()], [ids], [n], [units]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["seq", "label", "dim", "lo", "hi", "ids", "n", "units"])
-
+            x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(t.num_rows, key[1])
+            at = np.pad(x @ axes[key[1]], ((0, 0), (0, AXES - axes[key[1]].shape[1])))
+            order, leaves = leaf_order(x)
+            ids, n = (t.column(c).to_numpy().astype(np.int64)[order].tobytes() for c in ("id", "n"))
+            values = [int(t.column("id")[0].as_py()), key[0], key[1], task + group, at.min(0).tolist(), at.max(0).tolist(), ids, n, x[order].tobytes(), leaves.limits.astype(np.int32).tobytes(), leaves.centres.tobytes(), leaves.radii.tobytes()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["seq", "label", "dim", "grp", "lo", "hi", "ids", "n", "units", "limits", "centres", "radii"])
+
+        group = 0
         for batch in batches:
             labels, dims = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
             at = 0
@@ -122,7 +172,9 @@ def sequence_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBa
                 now = (int(labels[at]), int(dims[at]))
                 if held and (now != key or count == SEQUENCE):
                     yield row()
-                    held, count = [], 0
+                    held, count, done = [], 0, done + 1
+                    if now != key or done == GROUP:
+                        group, done = group + 1, 0
                 key = now
                 other = np.flatnonzero((labels[at:] != now[0]) | (dims[at:] != now[1]))
                 to = min(at + SEQUENCE - count, at + int(other[0]) if len(other) else batch.num_rows)
@@ -135,46 +187,78 @@ def sequence_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-SEQUENCES = "seq long, label long, dim int, lo array<double>, hi array<double>, ids binary, n binary, units binary"
+SEQUENCES = "seq long, label long, dim int, grp long, lo array<double>, hi array<double>, ids binary, n binary, units binary, limits binary, centres binary, radii binary"
+
 
+def _leaves(group: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(group.column("centres")[i].as_py(), np.float32).reshape(-1, group.column("dim")[i].as_py()), np.frombuffer(group.column("radii")[i].as_py(), np.float32)
 
-def join_pair(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, nx: np.ndarray, ny: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, Forest]:
+
+def meet_rows(eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(g, h, seq, seq2) of sequences of groups g and h that have leaves within eps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, ["g", "h"]):
+            g, h = group.column("g")[0].as_py(), group.column("h")[0].as_py()
+            side, seq = group.column("grp").to_numpy(), group.column("seq").to_numpy()
+            left, right = np.flatnonzero(side == g), np.flatnonzero(side == h)
+            leaves = {i: _leaves(group, i) for i in {*left.tolist(), *right.tolist()}}
+            centres, radii = (np.concatenate([leaves[i][k] for i in right.tolist()]) for k in (0, 1))
+            begin = np.cumsum([0, *(len(leaves[i][1]) for i in right.tolist())])[:-1]
+            a, b = [], []
+            for i in left.tolist():
+                met = np.logical_or.reduceat(near(*leaves[i], centres, radii, eps).any(0), begin)
+                found = [s for s in seq[right[met]].tolist() if g != h or s >= seq[i]]
+                a += [int(seq[i])] * len(found)
+                b += found
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([g] * len(a), [h] * len(a), a, b)], names=["g", "h", "seq", "seq2"])
+
+    return run
+
+
+def join_pair(x: np.ndarray, y: np.ndarray, lx: Leaves, ly: Leaves, nx: np.ndarray, ny: np.ndarray, same: bool, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, Forest]:
     """Links of two sequences: how many vectors each row of x and of y links with (weights n), and what
     falls together (rows of x, then rows of y). same: y is x, whose rows don't meet themselves."""
-    eps2 = (2 - 2 * threshold) * (1 + 1e-9) + 1e-12
     cx, cy = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     forest, base = Forest(len(x) + (0 if same else len(y))), 0 if same else len(x)
+    met = near(lx.centres, lx.radii, ly.centres, ly.radii, eps_of(threshold))
+    x32 = x.astype(np.float32)
+    y32 = x32 if same else y.astype(np.float32)
+
+    def rows_of(leaves: Leaves, some: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(leaves.limits[i], leaves.limits[i + 1]) for i in some.tolist()])
 
     def compare(a: int, b: int, c: int, d: int) -> None:
-        hit = x[a:b] @ y[c:d].T >= threshold
-        inner = same and a == c
+        part, inner = met[a:b, c:d], same and a == c
+        left, right = rows_of(lx, a + np.flatnonzero(part.any(1))), rows_of(ly, c + np.flatnonzero(part.any(0)))
+        # single precision tells what is surely no link
+        if not (x32[left] @ y32[right].T >= threshold - 1e-5).any():
+            return
+        hit = x[left] @ y[right].T >= threshold
         if inner:
-            np.fill_diagonal(hit, False)
+            hit &= left[:, None] != right
         if not hit.any():
             return
-        cx[a:b] += hit @ ny[c:d]
+        cx[left] += hit @ ny[right]
         if not inner:
-            cy[c:d] += nx[a:b] @ hit
+            cy[right] += nx[left] @ hit
         rows, columns = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
-        hit = hit[np.ix_(rows, columns)]
-        far = len(rows) + len(columns)
-        left, right = np.arange(len(rows)), np.full(len(columns), far)
+        hit, left, right = hit[np.ix_(rows, columns)], left[rows], right[columns]
+        far = len(left) + len(right)
+        low, high = np.arange(len(left)), np.full(len(right), far)
         while True:  # smallest row reachable
-            new_right = np.minimum(right, np.where(hit, left[:, None], far).min(0))
-            new_left = np.minimum(left, np.where(hit, new_right, far).min(1))
-            if (new_left == left).all() and (new_right == right).all():
+            new_high = np.minimum(high, np.where(hit, low[:, None], far).min(0))
+            new_low = np.minimum(low, np.where(hit, new_high, far).min(1))
+            if (new_low == low).all() and (new_high == high).all():
                 break
-            left, right = new_left, new_right
-        for i, r in zip((rows + a).tolist(), (rows[left] + a).tolist()):
+            low, high = new_low, new_high
+        for i, r in zip(left.tolist(), left[low].tolist()):
             forest.join(i, r)
-        for i, r in zip((columns + c + base).tolist(), (rows[right] + a).tolist()):
+        for i, r in zip((right + base).tolist(), left[high].tolist()):
             forest.join(i, r)
 
     def walk(a: int, b: int, c: int, d: int) -> None:
-        if same and a > c:
-            return
-        gap = np.maximum(0, np.maximum(px[a:b].min(0) - py[c:d].max(0), py[c:d].min(0) - px[a:b].max(0)))
-        if gap @ gap > eps2:
+        if (same and a > c) or not met[a:b, c:d].any():
             return
         if b - a <= PIECE and d - c <= PIECE:
             compare(a, b, c, d)
@@ -185,39 +269,52 @@ def join_pair(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, nx:
                 walk(p, q, r, s)
 
     if len(x) and len(y):
-        walk(0, len(x), 0, len(y))
+        walk(0, len(lx.radii), 0, len(ly.radii))
     if same:
         cx = cx + cy
         cy = cy[:0]
     return cx, cy, forest
 
 
-def link_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(a, b, n): with b null, vector a links with n more vectors; else a and b fall together."""
+def link_rows(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(a, b, n): with b null, vector a links with n more vectors; else a and b fall together.
+
+    A group of rows holds the sequences of two groups; ``partners`` says which of them a sequence is joined with.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                g = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                dim, same = g("dim"), g("seq") == g("seq2")
-                x = np.frombuffer(g("units"), np.float64).reshape(-1, dim)
-                y = x if same else np.frombuffer(g("units2"), np.float64).reshape(-1, dim)
-                ids, nx = (np.frombuffer(g(c), np.int64) for c in ("ids", "n"))
-                ids2, ny = (np.frombuffer(g(c), np.int64) for c in ("ids2", "n2"))
-                cx, cy, forest = join_pair(x, y, x @ axes[dim], y @ axes[dim], nx, ny, same)
-                every = ids if same else np.concatenate((ids, ids2))
-                count = cx if same else np.concatenate((cx, cy))
-                some = np.flatnonzero(count)
-                root = np.array([forest.find(i) for i in some.tolist()], np.int64)
-                joined = some != root
-                a = np.concatenate((every[some], every[some[joined]]))
-                b = pa.array(np.concatenate((np.zeros(len(some), np.int64), every[root[joined]])), mask=np.arange(len(a)) < len(some))
-                n = np.concatenate((count[some], np.zeros(int(joined.sum()), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n)], names=["a", "b", "n"])
+        for group in grouped(batches, ["g", "h"]):
+            number = {s: i for i, s in enumerate(group.column("seq").to_pylist())}
+
+            def parts(i: int) -> tuple[np.ndarray, Leaves, np.ndarray, np.ndarray]:
+                g = lambda c, kind: np.frombuffer(group.column(c)[i].as_py(), kind)  # noqa: B023, E731
+                return g("units", np.float64).reshape(-1, group.column("dim")[i].as_py()), Leaves(g("limits", np.int32), *_leaves(group, i)), g("n", np.int64), g("ids", np.int64)  # noqa: B023
+
+            for s, i in number.items():
+                x = None
+                for other in group.column("partners")[i].as_py():
+                    x = x or parts(i)
+                    y = x if other == s else parts(number[other])
+                    cx, cy, forest = join_pair(x[0], y[0], x[1], y[1], x[2], y[2], other == s, threshold)
+                    every = x[3] if other == s else np.concatenate((x[3], y[3]))
+                    count = cx if other == s else np.concatenate((cx, cy))
+                    some = np.flatnonzero(count)
+                    if not len(some):
+                        continue
+                    root = np.array([forest.find(j) for j in some.tolist()], np.int64)
+                    joined = some != root
+                    a = np.concatenate((every[some], every[some[joined]]))
+                    b = pa.array(np.concatenate((np.zeros(len(some), np.int64), every[root[joined]])), mask=np.arange(len(a)) < len(some))
+                    n = np.concatenate((count[some], np.zeros(int(joined.sum()), np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n)], names=["a", "b", "n"])
 
     return run
 
 
+def eps_of(threshold: float) -> float:
+    return float(np.sqrt((2 - 2 * threshold) * (1 + 1e-9) + 1e-12))
+
+
 def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
@@ -228,9 +325,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     """
     tune(spark)
     scratch = Scratch(spark)
-    if threshold != THRESHOLD:
-        raise ValueError("the tasks compare at THRESHOLD")
-    eps = float(np.sqrt((2 - 2 * threshold) * (1 + 1e-9) + 1e-12))
+    eps = eps_of(threshold)
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     units = scratch.save(source.mapInArrow(unit_rows, "vec_id long, label long, dim int, unit binary").withColumn("digest", F.md5("unit")), "ego-units")
     key = ["label", "dim", "digest"]
@@ -247,23 +342,26 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     runs = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     sequences = scratch.save(runs.mapInArrow(sequence_rows(axes), SEQUENCES), "ego-sequences")
 
-    # a sequence meets those whose first axis lies within eps: equal stripes, or the next one
-    box = sequences.select("seq", "label", "dim", "lo", "hi")
+    # groups of sequences whose boxes lie within eps, found through stripes of the first axis
+    edge = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(AXES)]).alias(c)
+    box = sequences.groupBy("label", "dim", "grp").agg(edge(F.min, "lo"), edge(F.max, "hi"))
     stripe = lambda c: F.floor(F.element_at(c, 1) / eps)
-    left = box.withColumn("s", F.explode(F.sequence(stripe("lo"), stripe("hi"))))
-    right = box.select(F.col("seq").alias("seq2"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    left = box.withColumnRenamed("grp", "g").withColumn("s", F.explode(F.sequence(stripe("lo"), stripe("hi"))))
+    right = box.select(F.col("grp").alias("h"), "label", "dim", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     right = right.withColumn("s", F.explode(F.sequence(stripe("lo2") - 1, stripe("hi2") + 1)))
     gap = F.zip_with(F.zip_with("lo2", "hi", lambda a, b: a - b), F.zip_with("lo", "hi2", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
     far = F.aggregate(gap, F.lit(0.0), lambda total, g: total + g * g)
-    pairs = left.join(right, ["label", "dim", "s"]).filter((F.col("seq") <= F.col("seq2")) & (far <= eps * eps)).select("seq", "seq2", "dim").distinct()
-    heavy = sequences.select("seq", "ids", "n", "units")
-    other = heavy.select(F.col("seq").alias("seq2"), F.col("ids").alias("ids2"), F.col("n").alias("n2"), F.col("units").alias("units2"))
-    met = pairs.join(heavy, "seq").join(other, "seq2")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(PAIR_ROWS))
-    try:
-        found = scratch.save(met.select("seq", "seq2", "dim", "ids", "n", "units", "ids2", "n2", "units2").mapInArrow(link_rows(axes), "a long, b long, n long"), "ego-links")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    pairs = left.join(right, ["label", "dim", "s"]).filter((F.col("g") <= F.col("h")) & (far <= eps * eps * (1 + 1e-9))).select("g", "h").distinct()
+    # of these, sequences that have leaves within eps: only leaves are shipped
+    sides = pairs.select("g", "h", F.explode(F.array_distinct(F.array("g", "h"))).alias("grp"))
+    leaves = sides.join(sequences.select("grp", "seq", "dim", "centres", "radii"), "grp").repartition("g", "h").sortWithinPartitions("g", "h")
+    met = scratch.save(leaves.select("g", "h", "grp", "seq", "dim", "centres", "radii").mapInArrow(meet_rows(eps), "g long, h long, seq long, seq2 long"), "ego-met")
+    # and of these the vectors, once for each two groups
+    none = F.array().cast("array<long>")
+    asked = met.groupBy("g", "h", "seq").agg(F.collect_list("seq2").alias("p")).union(met.select("g", "h", "seq2", none.alias("p")).distinct())
+    asked = asked.groupBy("g", "h", "seq").agg(F.flatten(F.collect_list("p")).alias("partners"))  # at most GROUP of them
+    heavy = asked.join(sequences.select("seq", "dim", "ids", "n", "units", "limits", "centres", "radii"), "seq").repartition("g", "h").sortWithinPartitions("g", "h")
+    found = scratch.save(heavy.mapInArrow(link_rows(threshold), "a long, b long, n long"), "ego-links")
 
     salted = classes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     light = units.select("vec_id", *key, F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt"))
