@@ -2,13 +2,12 @@
 
 On unit vectors a cosine of at least t is a distance of at most eps = sqrt(2 - 2t). Vectors are projected
 on the leading principal axes (which never lengthens a distance), ordered by the grid cells of side eps
-they fall in, and cut into sequences of that order. Inside a sequence vectors are sorted again, by halving
-it along the component in which each half varies most, down to leaves of LEAF vectors, each with a centre and a
-radius over all components. Two sequences meet only if two of their leaves may lie within eps, which is found
-from the leaves alone, a sixteenth of the data; so the vectors of a sequence travel once for each group of
-sequences that it has partners in. Sequences that meet are joined by halving both and skipping distant halves,
-down to pieces whose near leaves are compared as a matrix product. A task reports how many vectors each
-vector links with and what falls together, never the pairs.
+they fall in, and cut into sequences of that order. The vectors of one cell of a sequence are a leaf
+(where they lie apart, several), with a centre and a radius over all components. Two sequences meet only if two of their leaves may lie within eps, which is found from the leaves alone in single precision; so
+the vectors of a sequence travel only where it has partners, and once for each group of sequences that it has
+them in. Sequences that meet are joined by halving both and skipping distant halves, down to pieces whose
+near leaves are compared as a matrix product. A task reports how many vectors each vector links with and
+what falls together, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,10 +25,11 @@ from .graph import Forest, components, grouped
 from .runtime import Scratch, tune
 
 THRESHOLD = 0.93
-#: Principal axes of the grid; vectors of a sequence, of a leaf; leaves compared as one matrix product.
-AXES, SEQUENCE, LEAF, PIECE = 6, 2048, 16, 16
+#: Principal axes of the grid, four bits of a cell's number each; vectors of a sequence; leaves compared as
+#: one matrix product, and held at a time against those of another sequence.
+AXES, SEQUENCE, PIECE, MEET = 16, 512, 64, 4096
 #: Neighbouring sequences that are shipped together.
-GROUP = 16
+GROUP = 64
 SALTS = 8
 #: What rounding may take from a distance between centres in single precision.
 SLACK = 1e-4
@@ -87,18 +87,27 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def cells_of(x: np.ndarray, axes: np.ndarray, eps: float) -> np.ndarray:
+    """The grid cell of each row, the leading axis in the highest bits. Cells beyond the eighth from the origin
+    are numbered as that one, which only makes it larger."""
+    at = np.clip(np.floor(x @ axes / eps), -8, 7).astype(np.int64) + 8
+    out = np.zeros(len(x), np.int64)
+    for k in range(at.shape[1]):
+        out = (out << 4) | at[:, k]
+    return out
+
+
 def cell_rows(axes: dict[int, np.ndarray], eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the grid cell on each axis to (label, dim, unit, id, n)."""
+    """Adds the grid cell to (label, dim, unit, id, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            cells = np.zeros((batch.num_rows, AXES), np.int32)
+            cells = np.zeros(batch.num_rows, np.int64)
             for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
-                at = np.floor(_matrix(batch.column("unit").take(pa.array(rows)), d) @ axes[d] / eps)
-                cells[rows, : at.shape[1]] = at
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cells[:, k]) for k in range(AXES))], names=[*batch.schema.names, *(f"c{k}" for k in range(AXES))])
+                cells[rows] = cells_of(_matrix(batch.column("unit").take(pa.array(rows)), d), axes[d], eps)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
 
     return run
 
@@ -112,27 +121,31 @@ class Leaves:
     radii: np.ndarray
 
 
-def leaf_order(x: np.ndarray) -> tuple[np.ndarray, Leaves]:
-    """An order of the rows in which near ones stand together, and its leaves."""
-    n, levels = len(x), max(0, (-(-len(x) // LEAF) - 1).bit_length())
-    size = LEAF << levels
-    at, real = np.minimum(np.arange(size), n - 1), np.arange(size) < n
-    for level in range(levels):
-        m = 1 << level
-        at, real = at.reshape(m, -1), real.reshape(m, -1)
-        block = x[at]
-        widest = block.var(1).argmax(1)
-        order = np.take_along_axis(block, widest[:, None, None], 2)[:, :, 0].argsort(1, kind="stable")
-        at, real = np.take_along_axis(at, order, 1), np.take_along_axis(real, order, 1)
-    real = real.ravel()
-    at, of = at.ravel()[real], np.repeat(np.arange(size // LEAF), LEAF)[real]
-    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    limits = np.concatenate((begin, [n]))
-    counts = np.diff(limits)
-    x = x[at]
+def leaf_order(x: np.ndarray, axes: np.ndarray, eps: float) -> tuple[np.ndarray, Leaves]:
+    """The rows in the order of their cells, and the leaves: rows of one cell, parted where they are wide.
+
+    A wide cell's rows within eps / 2 of its first row are a leaf, and so on with the rest.
+    """
+    cells = cells_of(x, axes, eps)
+    order = np.argsort(cells, kind="stable")
+    x, cells = x[order], cells[order]
+    begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    limits = np.concatenate((begin, [len(x)])).tolist()
+    leaf, count = np.zeros(len(x), np.int64), 0
+    for a, b in zip(limits[:-1], limits[1:]):
+        rest = np.arange(a, b)
+        while len(rest):
+            y = x[rest]
+            close = np.zeros(1, bool) if len(rest) == 1 else ((y - y[0]) ** 2).sum(1) <= eps * eps / 4
+            close[0] = True
+            leaf[rest[close]] = count
+            rest, count = rest[~close], count + 1
+    again = np.argsort(leaf, kind="stable")
+    order, x, counts = order[again], x[again], np.bincount(leaf)
+    begin = np.cumsum(counts) - counts
     centres = (np.add.reduceat(x, begin) / counts[:, None]).astype(np.float32)
     away = np.sqrt(((x - np.repeat(centres, counts, 0)) ** 2).sum(1))
-    return at, Leaves(limits, centres, np.maximum.reduceat(away, begin).astype(np.float32))
+    return order, Leaves(np.concatenate((begin, [len(x)])), centres, np.maximum.reduceat(away, begin).astype(np.float32))
 
 
 def near(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, eps: float) -> np.ndarray:
@@ -142,7 +155,7 @@ def near(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray, eps: floa
     return square <= reach * reach + np.float32(SLACK)
 
 
-def sequence_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def sequence_rows(axes: dict[int, np.ndarray], eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of SEQUENCE vectors of one label and length in grid order, each as one row with its box and leaves.
 
     grp numbers GROUP neighbouring sequences of one label and length.
@@ -158,7 +171,7 @@ def sequence_rows(axes: dict[int, np.ndarray]) -> Callable[[Iterator[pa.RecordBa
             t = pa.Table.from_batches(held).combine_chunks()
             x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(t.num_rows, key[1])
             at = np.pad(x @ axes[key[1]], ((0, 0), (0, AXES - axes[key[1]].shape[1])))
-            order, leaves = leaf_order(x)
+            order, leaves = leaf_order(x, axes[key[1]], eps)
             ids, n = (t.column(c).to_numpy().astype(np.int64)[order].tobytes() for c in ("id", "n"))
             values = [int(t.column("id")[0].as_py()), key[0], key[1], task + group, at.min(0).tolist(), at.max(0).tolist(), ids, n, x[order].tobytes(), leaves.limits.astype(np.int32).tobytes(), leaves.centres.tobytes(), leaves.radii.tobytes()]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 6]
@@ -203,14 +216,17 @@ def meet_rows(eps: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             side, seq = group.column("grp").to_numpy(), group.column("seq").to_numpy()
             left, right = np.flatnonzero(side == g), np.flatnonzero(side == h)
             leaves = {i: _leaves(group, i) for i in {*left.tolist(), *right.tolist()}}
-            centres, radii = (np.concatenate([leaves[i][k] for i in right.tolist()]) for k in (0, 1))
-            begin = np.cumsum([0, *(len(leaves[i][1]) for i in right.tolist())])[:-1]
+            sizes = np.array([len(leaves[i][1]) for i in right.tolist()])
+            stacks = np.split(right, np.flatnonzero(np.diff(np.cumsum(sizes) // MEET)) + 1)
             a, b = [], []
-            for i in left.tolist():
-                met = np.logical_or.reduceat(near(*leaves[i], centres, radii, eps).any(0), begin)
-                found = [s for s in seq[right[met]].tolist() if g != h or s >= seq[i]]
-                a += [int(seq[i])] * len(found)
-                b += found
+            for some in stacks:
+                centres, radii = (np.concatenate([leaves[i][k] for i in some.tolist()]) for k in (0, 1))
+                begin = np.cumsum([0, *(len(leaves[i][1]) for i in some.tolist())])[:-1]
+                for i in left.tolist():
+                    met = np.logical_or.reduceat(near(*leaves[i], centres, radii, eps).any(0), begin)
+                    found = [s for s in seq[some[met]].tolist() if g != h or s >= seq[i]]
+                    a += [int(seq[i])] * len(found)
+                    b += found
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ([g] * len(a), [h] * len(a), a, b)], names=["g", "h", "seq", "seq2"])
 
     return run
@@ -336,11 +352,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     member = member.select("label", "dim", "unit", F.col("vec_id").alias("id"), "n")
     member = scratch.save(member, "ego-distinct")
     axes = principal_axes(member)
-    cells = [f"c{k}" for k in range(AXES)]
-    order = ["label", "dim", *cells, "id"]
-    ordered = member.mapInArrow(cell_rows(axes, eps), "label long, dim int, unit binary, id long, n long, " + ", ".join(f"{c} int" for c in cells))
+    order = ["label", "dim", "cell", "id"]
+    ordered = member.mapInArrow(cell_rows(axes, eps), "label long, dim int, unit binary, id long, n long, cell long")
     runs = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
-    sequences = scratch.save(runs.mapInArrow(sequence_rows(axes), SEQUENCES), "ego-sequences")
+    sequences = scratch.save(runs.mapInArrow(sequence_rows(axes, eps), SEQUENCES), "ego-sequences")
 
     # groups of sequences whose boxes lie within eps, found through stripes of the first axis
     edge = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(AXES)]).alias(c)
@@ -359,7 +374,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     # and of these the vectors, once for each two groups
     none = F.array().cast("array<long>")
     asked = met.groupBy("g", "h", "seq").agg(F.collect_list("seq2").alias("p")).union(met.select("g", "h", "seq2", none.alias("p")).distinct())
-    asked = asked.groupBy("g", "h", "seq").agg(F.flatten(F.collect_list("p")).alias("partners"))  # at most GROUP of them
+    asked = asked.groupBy("g", "h", "seq").agg(F.flatten(F.collect_list("p")).alias("partners"))  # GROUP at most
     heavy = asked.join(sequences.select("seq", "dim", "ids", "n", "units", "limits", "centres", "radii"), "seq").repartition("g", "h").sortWithinPartitions("g", "h")
     found = scratch.save(heavy.mapInArrow(link_rows(threshold), "a long, b long, n long"), "ego-links")
 

@@ -48,7 +48,6 @@ def test_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(E, "SEQUENCE", 40)
     monkeypatch.setattr(E, "PIECE", 2)
     monkeypatch.setattr(E, "GROUP", 2)
-    monkeypatch.setattr(E, "LEAF", 4)
     rows = cloud(1, 300)
     assert run(spark, rows) == brute(rows)
 
@@ -64,7 +63,6 @@ def test_odd_rows(spark):
 def test_all_alike(spark, monkeypatch):
     monkeypatch.setattr(E, "SEQUENCE", 64)
     monkeypatch.setattr(E, "PIECE", 2)
-    monkeypatch.setattr(E, "LEAF", 8)
     r = np.random.default_rng(3)
     rows = [(i, (np.ones(6) + r.normal(0, 0.05, 6)).astype(np.float32).astype(float).tolist(), 0) for i in range(200)]
     assert run(spark, rows) == brute(rows)
@@ -78,7 +76,8 @@ def test_join_pair(same):
     y = x if same else np.vstack([x[::3], -x[::5]]) @ np.linalg.qr(np.eye(5) + r.normal(0, 0.05, (5, 5)))[0]
     nx, ny = r.integers(1, 4, len(x)), None
     ny = nx if same else r.integers(1, 4, len(y))
-    (ox, lx), (oy, ly) = E.leaf_order(x), E.leaf_order(y)
+    axes = np.linalg.qr(r.normal(size=(5, 3)))[0]
+    (ox, lx), (oy, ly) = (E.leaf_order(v, axes, 0.2) for v in (x, y))
     x, nx = x[ox], nx[ox]
     y, ny = (x, nx) if same else (y[oy], ny[oy])
     cx, cy, _ = E.join_pair(x, y, lx, ly, nx, ny, same)
@@ -90,9 +89,9 @@ def test_join_pair(same):
 
 def test_leaves_hold_their_rows():
     r = np.random.default_rng(4)
-    for n in (1, 15, 16, 17, 300, 2048):
+    for n in (1, 15, 300, 2048):
         x = r.normal(size=(n, 7))
-        order, leaves = E.leaf_order(x)
+        order, leaves = E.leaf_order(x, np.eye(7)[:, :4], 0.7)
         assert sorted(order.tolist()) == list(range(n)) and leaves.limits[0] == 0 and leaves.limits[-1] == n
         for a, b, c, radius in zip(leaves.limits[:-1], leaves.limits[1:], leaves.centres, leaves.radii):
-            assert 0 < b - a <= E.LEAF and np.linalg.norm(x[order][a:b] - c, axis=1).max() <= radius + 1e-6
+            assert len(np.unique(np.clip(np.floor(x[order][a:b, :4] / 0.7), -8, 7), axis=0)) == 1 and np.linalg.norm(x[order][a:b] - c, axis=1).max() <= radius + 1e-6
