@@ -68,21 +68,21 @@ class Sequence:
         self.last = np.array([p.universe - 1 for p in parts], U64)
         self.entry, self.low_at, self.high_at = before(column("n", np.int64)), before(column("low_words", np.int64)), before(column("high_words", np.int64))
         self.n = int(self.entry[-1])
-        load = lambda end: np.memmap(f"{stem}.{end}", U64, "r") if os.path.getsize(f"{stem}.{end}") else np.zeros(0, U64)
+        load = lambda end: mapped(f"{stem}.{end}", U64)
         self.low, self.high, self.zeros = load("low"), load("high"), load("zeros")
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Bit positions of the k-th zeros (from 0) of the high words."""
         word = np.searchsorted(self.zeros, k.astype(U64), "right") - 1
-        rank = (k - self.zeros[word].astype(np.int64)).astype(np.int64)
-        bits, at = ~self.high[word], np.zeros(len(k), np.int64)
-        for half in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & U64((1 << half) - 1)).astype(np.int64)
-            over = rank >= count
-            rank = np.where(over, rank - count, rank)
-            at += over * half
-            bits = np.where(over, bits >> U64(half), bits)
-        return word * 64 + at
+        return word * 64 + select_bit(~self.high[word], k - self.zeros[word].astype(np.int64))
+
+    def _ones_before(self, bit: np.ndarray) -> np.ndarray:
+        """How many ones stand without a gap before each bit position; -1 where they fill the bit's word."""
+        within = (bit & 63).astype(U64)
+        gaps = ~self.high[bit >> 6] & ((ONE << within) - ONE)
+        for shift in (1, 2, 4, 8, 16, 32):
+            gaps |= gaps >> U64(shift)
+        return np.where(gaps == 0, -1, within.astype(np.int64) - np.bitwise_count(gaps).astype(np.int64))
 
     def _low_bits(self, part: np.ndarray, entry: np.ndarray) -> np.ndarray:
         width = self.width[part]
@@ -112,9 +112,13 @@ class Sequence:
         zero = self.zeros[self.high_at[part]].astype(np.int64) + bucket
         first_bit = self.high_at[part] * 64
         end = self._select_zero(zero) - first_bit - bucket + self.entry[part]
-        start = np.where(bucket > 0, 0, self.entry[part])
-        some = np.flatnonzero(bucket > 0)
-        start[some] = self._select_zero(zero[some] - 1) - first_bit[some] - (bucket[some] - 1) + self.entry[part[some]]
+        # a bucket begins where the zero before it stands: mostly in the word of its own zero
+        run = self._ones_before(first_bit + bucket + end - self.entry[part])
+        start = end - run
+        far = np.flatnonzero(run < 0)
+        start[far] = self.entry[part[far]]
+        far = far[bucket[far] > 0]
+        start[far] = self._select_zero(zero[far] - 1) - first_bit[far] - (bucket[far] - 1) + self.entry[part[far]]
         low = rest & ((ONE << width) - ONE)
         found = np.zeros(len(keys), bool)
         # halving within buckets, which hold two values on average
@@ -153,12 +157,63 @@ class Sequence:
         return self.begin[part] + ((high << self.width[part].astype(U64)) | self._low_bits(part, entry))
 
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The values of entries a to b, one after the other."""
+        out = [np.zeros(0, U64)]
+        for i in range(int(np.searchsorted(self.entry, a, "right")) - 1, len(self.begin)):
+            first, n = int(self.entry[i]), int(self.entry[i + 1] - self.entry[i])
+            if first >= b:
+                break
+            values = decode(self.low[self.low_at[i] : self.low_at[i + 1]], self.high[self.high_at[i] : self.high_at[i + 1]], int(self.width[i]), n)
+            out.append(values[max(a - first, 0) : b - first] + self.begin[i])
+        return np.concatenate(out)
+
+
+_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: Position of the k-th one in each byte.
+_IN_BYTE = np.array([[*np.flatnonzero(b), *[0] * 8][:8] for b in _BYTE], np.int64)
+_SPREAD, _HIGH = U64(0x0101010101010101), U64(0x8080808080808080)
+
+
+def select_bit(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The position of the k-th one (from 0) of each word, by byte sums."""
+    s = bits - ((bits >> U64(1)) & U64(0x5555555555555555))
+    s = (s & U64(0x3333333333333333)) + ((s >> U64(2)) & U64(0x3333333333333333))
+    s = ((s + (s >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _SPREAD
+    # bytes whose sum up to their end is at most k
+    over = ((k.astype(U64) * _SPREAD) | _HIGH) - s
+    shift = np.minimum(np.bitwise_count(over & _HIGH), 7).astype(U64) << U64(3)
+    before = ((s << U64(8)) >> shift) & U64(0xFF)
+    byte = ((bits >> shift) & U64(0xFF)).astype(np.int64)
+    return shift.astype(np.int64) + _IN_BYTE[byte, np.minimum(k - before.astype(np.int64), 7)]
+
+
+def decode(low: np.ndarray, high: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The n values of a coded part, less its begin."""
+    ones = np.flatnonzero(np.unpackbits(np.asarray(high).view(np.uint8), bitorder="little"))[:n]
+    out = (ones - np.arange(n)).astype(U64) << U64(width)
+    if width:
+        for k in range(0, n, 1 << 14):
+            m = min(1 << 14, n - k)
+            words = np.asarray(low[k * width // 64 : ((k + m) * width + 63) // 64])
+            bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: m * width].reshape(m, width)
+            out[k : k + m] |= np.packbits(np.pad(bits, ((0, 0), (0, 64 - width))), axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def mapped(path: str, kind: type) -> np.ndarray:
+    """A file's numbers, mapped into memory; a plain view, which is read faster than a memmap's own."""
+    return np.asarray(np.memmap(path, kind, "r")) if os.path.getsize(path) else np.zeros(0, kind)
+
+
 def write_part(path: str, begin: int, universe: int, values: np.ndarray) -> dict:
-    """Codes one part (sorted values, less ``begin``) into path.low and path.high; its description."""
+    """Codes one part (sorted values, less ``begin``) into path.low, path.high and path.zeros; its description."""
     width = low_width(universe, len(values))
     low, high = encode(values, width, universe)
     save(f"{path}.low", low)
     save(f"{path}.high", high)
+    zeros = 64 - np.bitwise_count(high).astype(np.int64)
+    save(f"{path}.zeros", (np.cumsum(zeros) - zeros).astype(U64))
     return vars(Part(int(begin), int(universe), len(values), width, len(low), len(high)))
 
 

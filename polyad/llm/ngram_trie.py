@@ -1,14 +1,18 @@
 """Language-model scores from an Elias-Fano n-gram trie.
 
 Level 1 holds the words (sorted hashes), level 2 the successors of each word, level 3 the successors of
-each pair. A word of level 3 is stored by its rank among the successors of the word before it. Levels are
+each pair. Monotone pointers tell where on level 2 the successors of each word begin; a word of level 3 is
+stored by its rank among the successors of the word before it, so keys are small. Levels and pointers are
 Elias-Fano sequences in memory-mapped files of the shared folder, with counts on levels 1 and 2 and
 smoothed, quantised log probabilities on levels 2 and 3. Smoothing is by a Dirichlet prior: the counts of a
 context plus the next lower order's distribution as some occurrences more, so a context needs no more than
-its total. That of a pair is its count, since every text ends with a token that begins no context.
+its total. That of a pair is its count, since every text ends with a token that begins no context. Each
+level's prior is the one of GRID under which all its training tokens are likeliest, each left out of the counts.
 
 Counting runs in sorted blocks of integers: each task counts what it reads and sends, for every range of
-keys, one block; a range's task merges them and writes its part of the level. All pairs and triples are stored.
+keys, one block; a range's task merges them and writes its part of the level. Ranges are as many as tokens
+ask for, and cut where they are frequent, so a frequent word's successors are shared among several. All
+pairs and triples are stored, all counts are exact.
 """
 
 from __future__ import annotations
@@ -22,16 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .elias_fano import Sequence, save, write_part
+from .elias_fano import Sequence, decode, mapped, save, write_part
 from .runtime import new_path, tune
 from .textvec import U64, Texts, mix, slices
 
-PAIR_PRIOR, TRIPLE_PRIOR = 600.0, 3.0
-RANK_BITS = 28
-#: log10 probabilities from -12 to 0 in 255 steps; context totals by their log2 in 1/8.
+#: Priors to choose from.
+GRID = 2.0 ** np.arange(-2, 13)
+#: log10 probabilities from -12 to 0 in 255 steps.
 STEP = 12 / 255
-#: Distinct keys a task holds before it sends them.
-HELD = 1_500_000
+#: Distinct keys a task holds before it sends them; tokens a range is made for; bytes of text treated at a time.
+HELD, RANGE_TOKENS, SLICE = 1_500_000, 6_000_000, 1 << 22
 
 END = mix(np.array([0x456E64], U64))[0]
 
@@ -53,13 +57,13 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def squeeze(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted keys as differences, byte planes apart, so that compression finds the zeros."""
-    step = np.diff(keys, prepend=U64(0))
-    return step.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return planes(np.diff(keys, prepend=U64(0))), planes(counts)
 
 
 def unsqueeze(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = lambda b, k: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(k, -1).T)
-    return np.cumsum(planes(keys, 8).view("<u8").ravel().astype(U64), dtype=U64), planes(counts, 4).view("<u4").ravel().astype(np.int64)
+    planes = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(planes(keys).astype(U64), dtype=U64), planes(counts).astype(np.int64)
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +79,9 @@ class Level:
 
     def __init__(self, folder: str, level: int) -> None:
         self.sequence = Sequence(f"{folder}/{level}")
-        self.beside: dict[str, np.ndarray] = {}
-        for name, kind in (("count", np.uint32), ("code", np.uint8)):
-            if os.path.exists(p := f"{folder}/{level}.{name}"):
-                self.beside[name] = np.memmap(p, kind, "r") if os.path.getsize(p) else np.zeros(0, kind)
+        self.pointers = Sequence(f"{folder}/{level}.ptr") if level == 2 else None
+        with open(f"{folder}/{level}.kinds.json") as f:
+            self.beside = {name: mapped(f"{folder}/{level}.{name}", np.dtype(kind)) for name, kind in json.load(f).items()}
 
 
 class Trie:
@@ -106,7 +109,7 @@ class Trie:
         distinct, which = np.unique(ids[at - 1].astype(U64) * U64(size) + ids[at].astype(U64), return_inverse=True)
         pos, found = self.levels[1].sequence.successor(distinct)
         before, group = np.unique(distinct // U64(size), return_inverse=True)
-        start, _ = self.levels[1].sequence.successor(before * U64(size))
+        start = self.levels[1].pointers.access(before.astype(np.int64)).astype(np.int64)
         place[at] = np.where(found, pos, -1)[which]
         rank[at] = (pos - start[group])[which]
         return place, rank
@@ -115,15 +118,7 @@ class Trie:
         """Tokens whose two pairs are known, and the triples' keys."""
         before = np.concatenate(([-1], place[:-1]))
         at = np.flatnonzero(inner & (place >= 0) & (before >= 0))
-        return at, (before[at].astype(U64) << U64(RANK_BITS)) | rank[at].astype(U64)
-
-    def start_of_second(self, place: np.ndarray) -> np.ndarray:
-        """Where, on level 2, the successors of the second word of each pair begin."""
-        distinct, which = np.unique(place, return_inverse=True)
-        second = self.levels[1].sequence.access(distinct) % U64(self.total["words"])
-        word, group = np.unique(second, return_inverse=True)
-        start, _ = self.levels[1].sequence.successor(word * U64(self.total["words"]))
-        return start[group][which]
+        return at, (before[at].astype(U64) << U64(self.total["rank_bits"])) | rank[at].astype(U64)
 
     def unigram(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts and probabilities of words by id."""
@@ -131,12 +126,33 @@ class Trie:
         return count, (count + 0.5) / (self.total["tokens"] + 0.5 * (self.total["words"] + 1))
 
 
+    def context_and_lower(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted keys of a level: occurrences of their contexts, and probabilities under the lower order."""
+        if level == 2:
+            size = U64(self.total["words"])
+            return self.unigram((keys // size).astype(np.int64))[0], self.unigram((keys % size).astype(np.int64))[1]
+        bits = U64(self.total["rank_bits"])
+        pair, rank = (keys >> bits).astype(np.int64), (keys & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        if not len(pair):
+            return np.zeros(0), np.zeros(0)
+        # the pair of the last two words, found through the middle word's pointer
+        first = int(pair[0])
+        middle, which = np.unique((self.levels[1].sequence.span(first, int(pair[-1]) + 1) % U64(self.total["words"])).astype(np.int64), return_inverse=True)
+        start = self.levels[1].pointers.access(middle).astype(np.int64)[which]
+        return self.levels[1].beside["count"][pair].astype(np.float64), VALUES[self.levels[1].beside["code"][start[pair - first] + rank]]
+
+
 def code_of(p: np.ndarray) -> np.ndarray:
     return np.clip(np.round((np.log10(p) + 12) / STEP), 0, 255).astype(np.uint8)
 
 
-def value_of(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code * STEP - 12)
+VALUES = 10.0 ** (np.arange(256) * STEP - 12)
+
+
+def left_out(counts: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """For each prior of GRID the log likelihood of a level's tokens, each without its own occurrence."""
+    c, n, q = (x.astype(np.float32) for x in (counts - 1, context - 1, lower))
+    return np.array([float((counts * (np.log(c + np.float32(m) * q) - np.log(n + np.float32(m)))).sum(dtype=np.float64)) for m in GRID])
 
 
 _open: dict[tuple[str, int], Trie] = {}
@@ -181,7 +197,7 @@ def counted_rows(folder: str, level: int, cuts: np.ndarray) -> Callable[[Iterato
         counts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 k, c = np.unique(keys_of(folder, level, part.column("text")), return_counts=True)
                 keys.append(k)
                 counts.append(c)
@@ -203,33 +219,29 @@ BLOCKS = "part int, keys binary, counts binary"
 
 
 def built_rows(folder: str, level: int, cuts: np.ndarray, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Merges the blocks of parts and writes them; (part, description, total, marks).
+    """Merges the blocks of parts and writes them; (part, about): about tells what is written, as JSON.
 
-    marks: key and occurrences of up to 64 stretches of the part, from which the next level's cuts follow.
+    marks: stretches of the part as (first key on level 1, else first entry; entries; occurrences), a frequent
+    entry by itself, from which the next level's cuts follow.
     """
 
     def write(i: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         begin, last = int(cuts[i]), int(cuts[i + 1]) if i + 1 < len(cuts) else end
         path = f"{folder}/{level}-{i}"
+        about = {"part": write_part(path, begin, max(last - begin, 1), keys - U64(begin)), "total": int(counts.sum()), "most": int(counts.max(initial=0))}
+        save(f"{path}.count", counts.astype(np.uint64))
         if level == 2:
-            trie = opened(folder, 1)
-            size = U64(trie.total["words"])
-            _, p = trie.unigram((keys % size).astype(np.int64))
-            context, _ = trie.unigram((keys // size).astype(np.int64))
-            save(f"{path}.code", code_of((counts + PAIR_PRIOR * p) / (context + PAIR_PRIOR)))
-        if level == 3:
-            trie = opened(folder, 2)
-            pair, rank = (keys >> U64(RANK_BITS)).astype(np.int64), (keys & U64((1 << RANK_BITS) - 1)).astype(np.int64)
-            total = trie.levels[1].beside["count"][pair].astype(np.float64)
-            # the lower order: the pair of the last two words, found through the middle word's successors
-            lower = trie.levels[1].beside["code"][trie.start_of_second(pair) + rank] if len(pair) else np.zeros(0, np.uint8)
-            save(f"{path}.code", code_of((counts + TRIPLE_PRIOR * value_of(lower)) / (total + TRIPLE_PRIOR)))
-        else:
-            save(f"{path}.count", np.minimum(counts, 2**32 - 1).astype(np.uint32))
-        about = write_part(path, begin, max(last - begin, 1), keys - U64(begin))
-        edge = np.linspace(0, len(keys), min(64, len(keys)) + 1).astype(int)
-        marks = [[int(keys[a]) if level == 1 else int(a), int(counts[a:b].sum())] for a, b in zip(edge[:-1], edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([json.dumps(about)]), pa.array([int(counts.sum())], pa.int64()), pa.array([json.dumps(marks)])], names=["part", "about", "total", "marks"])
+            about["ptr"] = write_pointers(path, begin, last, opened(folder, 1).total["words"], keys)
+        if level > 1:
+            about["left_out"] = left_out(counts, *opened(folder, level - 1).context_and_lower(level, keys)).tolist()
+        if level < 3:
+            weight = np.where(keys == END, 0, counts) if level == 1 else counts  # nothing follows an end
+            upto = np.cumsum(weight)
+            at = np.searchsorted(upto, np.linspace(0, upto[-1], 64, endpoint=False), "right") if len(keys) else np.zeros(0, np.int64)
+            edge = np.unique(np.concatenate(([0], at, at + 1, [len(keys)])))
+            edge = edge[edge <= len(keys)]
+            about["marks"] = [[int(a), int(b - a), int(weight[a:b].sum())] for a, b in zip(edge[:-1], edge[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([json.dumps(about)])], names=["part", "about"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts = -1, [], []
@@ -251,69 +263,120 @@ def built_rows(folder: str, level: int, cuts: np.ndarray, end: int) -> Callable[
     return run
 
 
-def joined_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Copies parts' files (source, target, offset) into the level's files; any attempt writes the same."""
+def write_pointers(path: str, begin: int, end: int, words: int, keys: np.ndarray) -> dict:
+    """For the words whose first possible key is in [begin, end): where among the keys their successors begin."""
+    first = np.arange(-(-begin // max(words, 1)), -(-end // max(words, 1)), dtype=U64) * U64(words)
+    return write_part(f"{path}.ptr", 0, len(keys) + 1, np.searchsorted(keys, first).astype(U64))
+
+
+def settled_rows(folder: str, level: int, kind: str, prior: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Puts parts (their plan as JSON) where they belong in the level's files, with the probabilities under the
+    prior; any attempt writes the same."""
+
+    def put(target: str, at: int, data: np.ndarray) -> None:
+        with open(f"{folder}/{target}", "r+b") as f:
+            f.seek(at * data.itemsize)
+            f.write(memoryview(np.ascontiguousarray(data)).cast("B"))
+
+    def sequence(source: str, target: str, p: dict, at: dict) -> None:
+        for name, rise in (("low", 0), ("high", 0), ("zeros", at["zeros"])):
+            data = np.fromfile(f"{folder}/{source}.{name}", U64)
+            put(f"{target}.{name}", at["low" if name == "low" else "high"], data + U64(rise) if rise else data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, target, offset in zip(*(batch.column(x).to_pylist() for x in ("source", "target", "at"))):
-                with open(f"{folder}/{source}", "rb") as f, open(f"{folder}/{target}", "r+b") as g:
-                    g.seek(offset)
-                    while data := f.read(1 << 22):
-                        g.write(data)
-            yield batch.slice(0, 0).select(["source"])
+            for row in batch.column("plan").to_pylist():
+                plan = json.loads(row)
+                source, p, at = f"{level}-{plan['i']}", plan["part"], plan["at"]
+                if "ptr" in plan:
+                    sequence(f"{source}.ptr", f"{level}.ptr", plan["ptr"], plan["ptr_at"])
+                if p is None:
+                    continue
+                sequence(source, str(level), p, at)
+                counts = np.fromfile(f"{folder}/{source}.count", np.uint64)
+                if level < 3:
+                    put(f"{level}.count", at["n"], counts.astype(kind))
+                if level > 1:
+                    keys = decode(np.fromfile(f"{folder}/{source}.low", U64), np.fromfile(f"{folder}/{source}.high", U64), p["width"], p["n"]) + U64(p["begin"])
+                    context, lower = opened(folder, level - 1).context_and_lower(level, keys)
+                    put(f"{level}.code", at["n"], code_of((counts + prior * lower) / (context + prior)))
+            yield batch.slice(0, 0)
 
     return run
 
 
-def _build(spark: SparkSession, docs: DataFrame, folder: str, level: int, cuts: np.ndarray, end: int) -> list:
-    """Counts, writes and joins one level; its parts as (part, description, total, marks)."""
+def _places(parts: list[dict | None]) -> list[dict]:
+    """Where each part's words, entries and zeros begin."""
+    at, out = {"low": 0, "high": 0, "n": 0, "zeros": 0}, []
+    for p in parts:
+        out.append(dict(at))
+        if p:
+            at = {"low": at["low"] + p["low_words"], "high": at["high"] + p["high_words"], "n": at["n"] + p["n"], "zeros": at["zeros"] + 64 * p["high_words"] - p["n"]}
+    return [*out, at]
+
+
+def _build(spark: SparkSession, docs: DataFrame, folder: str, level: int, cuts: np.ndarray, end: int) -> tuple[list[dict], float]:
+    """Counts, writes and settles one level; what its parts tell, and the prior."""
     blocks = docs.mapInArrow(counted_rows(folder, level, cuts), BLOCKS)
     spread = blocks.repartitionById(len(cuts), F.col("part")).sortWithinPartitions("part")
-    rows = spread.mapInArrow(built_rows(folder, level, cuts, end), "part int, about string, total long, marks string").collect()
-    rows = sorted((r["part"], json.loads(r["about"]), r["total"], json.loads(r["marks"])) for r in rows)
-    copies = []
-    parts = [r[1] for r in rows]
+    rows = {r["part"]: json.loads(r["about"]) for r in spread.mapInArrow(built_rows(folder, level, cuts, end), "part int, about string").collect()}
+    found = [rows[i] for i in sorted(rows)]
+    prior = float(GRID[int(np.sum([r["left_out"] for r in found], 0).argmax())]) if level > 1 and found else 1.0
+    kind = np.min_scalar_type(max((r["most"] for r in found), default=0)).str
+    places = dict(zip([*sorted(rows), None], _places([rows[i]["part"] for i in sorted(rows)])))
+    files = {f"{level}.{name}": places[None][name if name == "low" else "high"] * 8 for name in ("low", "high", "zeros")}
+    if level < 3:
+        files[f"{level}.count"] = places[None]["n"] * np.dtype(kind).itemsize
+    if level > 1:
+        files[f"{level}.code"] = places[None]["n"]
+    plans = {i: {"i": i, "part": r["part"], "at": places[i]} for i, r in rows.items()}
+    if level == 2:
+        # a range without pairs still has words to point for
+        words = opened(folder, 1).total["words"]
+        ends = [*map(int, cuts[1:]), end if words else 0]
+        pointers = [rows[i]["ptr"] if i in rows else write_pointers(f"{folder}/2-{i}", int(cuts[i]), ends[i], words, np.zeros(0, U64)) for i in range(len(cuts))]
+        at, entries = _places(pointers), 0
+        for i, p in enumerate(pointers):
+            p["begin"], entries = entries, entries + (rows[i]["part"]["n"] if i in rows else 0)
+            plans[i] = plans.get(i, {"i": i, "part": None, "at": None}) | {"ptr": p, "ptr_at": at[i]}
+        files |= {f"2.ptr.{name}": at[-1][name if name == "low" else "high"] * 8 for name in ("low", "high", "zeros")}
+        with open(f"{folder}/2.ptr.json", "w") as f:
+            json.dump(pointers, f)
+    for name, size in files.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(size)
     with open(f"{folder}/{level}.json", "w") as f:
-        json.dump(parts, f)
-    widths = {"low": 8, "high": 8}
-    widths |= {1: {"count": 4}, 2: {"count": 4, "code": 1}, 3: {"code": 1}}[level]
-    for name, width in widths.items():
-        at = 0
-        for r, p in zip(rows, parts):
-            copies.append((f"{level}-{r[0]}.{name}", f"{level}.{name}", at))
-            at += width * p[{"low": "low_words", "high": "high_words"}.get(name, "n")]
-        with open(f"{folder}/{level}.{name}", "wb") as f:
-            f.truncate(at)
-    if copies:
-        names = spark.createDataFrame(copies, "source string, target string, at long").repartition(min(len(copies), 64))
-        names.mapInArrow(joined_rows(folder), "source string").collect()
-        for source, _, _ in copies:
-            os.remove(f"{folder}/{source}")
-    high = np.memmap(f"{folder}/{level}.high", U64, "r") if os.path.getsize(f"{folder}/{level}.high") else np.zeros(0, U64)
-    zeros, so_far = np.lib.format.open_memmap(f"{folder}/{level}.zeros.npy", "w+", U64, (len(high),)) if len(high) else high, 0
-    for k in range(0, len(high), 1 << 20):
-        z = (64 - np.bitwise_count(high[k : k + (1 << 20)]).astype(np.int64)).cumsum()
-        zeros[k] = so_far
-        zeros[k + 1 : k + len(z)] = so_far + z[:-1]
-        so_far += int(z[-1])
-    np.asarray(zeros).tofile(f"{folder}/{level}.zeros")
-    if len(high):
-        os.remove(f"{folder}/{level}.zeros.npy")
-    return rows
-
-
-def _cuts(marks: list[tuple[int, int]], parts: int, fine: Callable[[int, float], int] | None = None) -> np.ndarray:
-    """Keys that part the marks' weight evenly; the first is 0. fine: key of a mark and share within it."""
-    keys, weight = [m[0] for m in marks], np.array([m[1] for m in marks], np.float64)
+        json.dump([r["part"] for r in found], f)
+    with open(f"{folder}/{level}.kinds.json", "w") as f:
+        json.dump({1: {"count": kind}, 2: {"count": kind, "code": "|u1"}, 3: {"code": "|u1"}}[level], f)
+    if plans:
+        table = spark.createDataFrame([(json.dumps(p),) for p in plans.values()], "plan string").repartition(len(plans))
+        table.mapInArrow(settled_rows(folder, level, kind, prior), "plan string").collect()
+        for name in os.listdir(folder):
+            if name.startswith(f"{level}-"):
+                os.remove(f"{folder}/{name}")
+    return found, prior
+
+
+def _cuts(marks: list[list[int]], parts: int, key_at: Callable[[int, int, float], int]) -> np.ndarray:
+    """Keys that part the marks' weight evenly; the first is 0. key_at: (first entry, entries, share within them)."""
+    weight = np.array([m[2] for m in marks], np.float64)
     if not weight.sum():
         return np.zeros(1, U64)
     edge = np.concatenate(([0], np.cumsum(weight)))
     goal = np.linspace(0, edge[-1], parts + 1)[1:-1]
-    at = np.clip(np.searchsorted(edge, goal, "right") - 1, 0, len(keys) - 1)
-    share = (goal - edge[at]) / np.maximum(weight[at], 1e-9)
-    found = sorted({0, *(fine(int(i), float(s)) for i, s in zip(at, share))} if fine else {0, *(keys[i] for i in at)})
-    return np.array(found, U64)
+    at = np.clip(np.searchsorted(edge, goal, "right") - 1, 0, len(marks) - 1)
+    share = np.clip((goal - edge[at]) / np.maximum(weight[at], 1e-9), 0, 1)
+    return np.array(sorted({0, *(key_at(marks[i][0], marks[i][1], s) for i, s in zip(at.tolist(), share.tolist()))}), U64)
+
+
+def _all_marks(rows: list[dict]) -> list[list[int]]:
+    """The marks of all parts, entries counted from the level's first."""
+    out, base = [], 0
+    for r in rows:
+        out += [[base + m[0], m[1], m[2]] for m in r["marks"]]
+        base += r["part"]["n"]
+    return out
 
 
 def local(path: str) -> str:
@@ -331,40 +394,34 @@ def build(spark: SparkSession, docs: DataFrame) -> str:
     url = new_path(spark, "trie")
     folder = local(url)
     os.makedirs(folder)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("text")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total: dict[str, int | float] = {}
 
-    def totals(level: int, **found: int) -> None:
+    def note(level: int, **found: int | float) -> None:
+        total.update(found)
         with open(f"{folder}/totals-{level}.json", "w") as f:
-            json.dump(found, f)
-
-    even = np.array([(i << 64) // parts for i in range(parts)], U64)
-    rows = _build(spark, docs, folder, 1, even, 1 << 64)
-    size, n = sum(r[1]["n"] for r in rows), sum(r[2] for r in rows)
-    totals(1, words=size, tokens=n)
-    # pairs of a word are as many as its occurrences: cut at even shares, a frequent word's by successor
-    count = np.memmap(f"{folder}/1.count", np.uint32, "r") if size else np.zeros(0, np.uint32)
-    chunk = 1 << 20
-    sums = np.array([count[k : k + chunk].sum(dtype=np.int64) for k in range(0, size, chunk)] or [0])
-    goal = np.linspace(0, max(n, 1), parts + 1)[1:-1]
-    edge = np.concatenate(([0], np.cumsum(sums)))
-    cuts = {0}
-    for g in goal:
-        k = int(np.clip(np.searchsorted(edge, g, "right") - 1, 0, len(sums) - 1))
-        run = np.cumsum(count[k * chunk : (k + 1) * chunk], dtype=np.int64)
-        if len(run):
-            i = min(int(np.searchsorted(run, g - edge[k])), len(run) - 1)
-            share = 1 - (run[i] - (g - edge[k])) / max(int(count[k * chunk + i]), 1)
-            cuts.add((k * chunk + i) * size + int(np.clip(share, 0, 1) * size) * (int(count[k * chunk + i]) * parts > n))
-    rows = _build(spark, docs, folder, 2, np.array(sorted(cuts), U64), max(size * size, 1))
-    pairs = sum(r[1]["n"] for r in rows)
-    totals(2, words=size, tokens=n, pairs=pairs)
-    base, marks = 0, []
-    for r in rows:
-        marks += [((base + m[0]) << RANK_BITS, m[1]) for m in r[3]]
-        base += r[1]["n"]
-    rows = _build(spark, docs, folder, 3, _cuts(marks, parts), max(pairs, 1) << RANK_BITS)
-    totals(3, words=size, tokens=n, pairs=pairs, triples=sum(r[1]["n"] for r in rows))
+            json.dump(total, f)
+
+    parts = max(least, docs.rdd.getNumPartitions() // 2)
+    rows, _ = _build(spark, docs, folder, 1, np.array([(i << 64) // parts for i in range(parts)], U64), 1 << 64)
+    size, n = sum(r["part"]["n"] for r in rows), sum(r["total"] for r in rows)
+    if size >= 1 << 32:
+        raise OverflowError(f"{size} distinct words: two of them don't fit into 64 bits")
+    most = max((r["most"] for r in rows), default=0)
+    note(1, words=size, tokens=n)
+    parts = max(least, -(-n // RANGE_TOKENS))
+    # pairs of a word are as many as its occurrences; a frequent word alone in its mark is cut by successor
+    after = lambda a, k, s: (a + int(s * k)) * size if k > 1 else a * size + int(s * size)
+    rows, prior = _build(spark, docs, folder, 2, _cuts(_all_marks(rows), parts, after), max(size * size, 1))
+    pairs = sum(r["part"]["n"] for r in rows)
+    # a word has at most as many successors as it occurs, and as there are words
+    bits = min(size, most).bit_length()
+    if pairs << bits >= 1 << 64:
+        raise OverflowError(f"{pairs} distinct pairs of {size} words: three words don't fit into 64 bits")
+    note(2, pairs=pairs, rank_bits=bits, pair_prior=prior)
+    rows, prior = _build(spark, docs, folder, 3, _cuts(_all_marks(rows), parts, lambda a, k, s: (a + int(s * k)) << bits), max(pairs, 1) << bits)
+    note(3, triples=sum(r["part"]["n"] for r in rows), triple_prior=prior)
     return url
 
 
@@ -373,7 +430,7 @@ def score_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 trie = opened(folder, 3)
                 hashes, limits = tokens(part.column("text"))
                 inner = np.ones(len(hashes), bool)
@@ -382,22 +439,23 @@ def score_rows(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 count, p1 = trie.unigram(ids)
                 place, rank = trie.pairs(ids, inner)
                 before = np.concatenate(([0.0], count[:-1]))
-                prior = np.where(inner, PAIR_PRIOR / (before + PAIR_PRIOR), 1.0)
+                pair_prior, triple_prior = trie.total["pair_prior"], trie.total["triple_prior"]
+                prior = np.where(inner, pair_prior / (before + pair_prior), 1.0)
                 code = trie.levels[1].beside["code"]
-                p = np.where(place >= 0, value_of(code[np.maximum(place, 0)]) if len(code) else 0, prior * p1)
+                p = np.where(place >= 0, VALUES[code[np.maximum(place, 0)]] if len(code) else 0, prior * p1)
                 inner2 = inner & np.concatenate(([False], inner[:-1]))
                 context = np.concatenate(([-1], place[:-1]))
                 at = np.flatnonzero(inner2 & (context >= 0))
                 if len(at):
                     total = trie.levels[1].beside["count"][context[at]].astype(np.float64)
-                    p[at] *= TRIPLE_PRIOR / (total + TRIPLE_PRIOR)
-                    at = at[place[at] >= 0]
-                    keys, which = np.unique((context[at].astype(U64) << U64(RANK_BITS)) | rank[at].astype(U64), return_inverse=True)
+                    p[at] *= triple_prior / (total + triple_prior)
+                    at, keys = trie.triple_keys(place, rank, inner2)
+                    keys, which = np.unique(keys, return_inverse=True)
                     where, known = trie.levels[2].sequence.successor(keys)
                     stored = trie.levels[2].beside["code"]
                     known &= len(stored) > 0
                     hit = known[which]
-                    p[at[hit]] = value_of(stored[where[which][hit]])
+                    p[at[hit]] = VALUES[stored[where[which][hit]]]
                 sums = lambda x: np.add.reduceat(x, limits[:-1])
                 n = np.diff(limits)
                 arrays = [n, sums((count > 0).astype(np.int64)), np.full(len(n), trie.total["tokens"], np.int64), sums(np.log10(p1)), sums(np.log10(p))]

@@ -26,7 +26,7 @@ def test_sequence(tmp_path):
             about.append(write_part(f"{tmp_path}/p{i}", a, b - a, own - np.uint64(a)) | {"i": i})
         stem = f"{tmp_path}/s"
         zeros = []
-        for end in ("low", "high"):
+        for end in ("low", "high"):  # zeros are counted from the sequence's begin
             np.concatenate([np.fromfile(f"{tmp_path}/p{p['i']}.{end}", np.uint64) for p in about]).tofile(f"{stem}.{end}")
         high = np.fromfile(f"{stem}.high", np.uint64)
         zeros = np.concatenate(([0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))[:-1]))
@@ -38,6 +38,8 @@ def test_sequence(tmp_path):
         at, found = s.successor(keys)
         assert (at == np.searchsorted(values, keys)).all() and (found == np.isin(keys, values)).all()
         assert (s.access(np.arange(len(values))) == values).all()
+        for a, b in ((0, len(values)), (1, len(values)), (len(values) // 3, len(values) // 2), (2, 2)):
+            assert (s.span(a, b) == values[a:b]).all()
 
 
 def words(text):
@@ -48,6 +50,13 @@ def quantised(p):
     return 10 ** (min(255, max(0, round((math.log10(p) + 12) / T.STEP))) * T.STEP - 12)
 
 
+def likeliest(counts, context, lower):
+    """The prior under which the counted tokens are likeliest, each left out of the counts."""
+    if not counts:
+        return 1.0
+    return max(T.GRID, key=lambda m: sum(c * math.log((c - 1 + m * lower(*k[-2:])) / (context[k[:-1]] - 1 + m)) for k, c in counts.items()))
+
+
 def brute(rows):
     train = [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     one, two, three = Counter(), Counter(), Counter()
@@ -55,22 +64,21 @@ def brute(rows):
         one.update(w)
         two.update(zip(w, w[1:]))
         three.update(zip(w, w[1:], w[2:]))
-    three = {k: c for k, c in three.items() if c > 1}
-    total = Counter()
-    for (a, b, _), c in three.items():
-        total[a, b] += c
     n, v = sum(one.values()), len(one)
     p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    pair_prior = likeliest(two, {(w,): c for w, c in one.items()}, lambda u, w: p1(w))
 
     def p2(u, w):
         c = two.get((u, w), 0)
-        return quantised((c + T.PAIR_PRIOR * p1(w)) / (one[u] + T.PAIR_PRIOR)) if c else T.PAIR_PRIOR / (one[u] + T.PAIR_PRIOR) * p1(w)
+        return quantised((c + pair_prior * p1(w)) / (one[u] + pair_prior)) if c else pair_prior / (one[u] + pair_prior) * p1(w)
+
+    triple_prior = likeliest(three, two, p2)
 
     def p3(u, v, w):
         c = three.get((u, v, w), 0)
         if c:
-            return quantised((c + T.TRIPLE_PRIOR * p2(v, w)) / (total[u, v] + T.TRIPLE_PRIOR))
-        return T.TRIPLE_PRIOR / (total[u, v] + T.TRIPLE_PRIOR) * p2(v, w)
+            return quantised((c + triple_prior * p2(v, w)) / (two[u, v] + triple_prior))
+        return triple_prior / (two[u, v] + triple_prior) * p2(v, w)
 
     out = []
     for i, t in rows:
@@ -108,35 +116,22 @@ def test_nothing_to_learn_from(spark):
     assert [r.n_known for r in T.score(spark, one).collect()] == [1]
 
 
-def brute_all(rows):
-    """The scores when triples that occur once are counted too."""
-    train = [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    one, two, three = (Counter(x for w in train for x in zip(*(w[j:] for j in range(n)))) for n in (1, 2, 3))
-    total = Counter()
-    for (a, b, _), c in three.items():
-        total[a, b] += c
-    n, v = sum(one.values()), len(one)
-    p1 = lambda w: (one[w,] + 0.5) / (n + 0.5 * (v + 1))
+def test_triples_seen_once_count(spark):
+    rows = [(i, t) for i, t in enumerate(["once upon time", "a b", "x y z"] * 1 + ["b a"] * 9)]
+    got = {r.doc_id: r.score for r in T.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.allclose([got[i] for i, _ in rows], [b[-1] for b in brute(rows)], rtol=1e-6)
 
-    def smoothed(c, prior, lower, context):
-        return quantised((c + prior * lower) / (context + prior)) if c else prior / (context + prior) * lower
 
-    p2 = lambda u, w: smoothed(two[u, w], T.PAIR_PRIOR, p1(w), one[u,])
-    p3 = lambda u, v, w: smoothed(three[u, v, w], T.TRIPLE_PRIOR, p2(v, w), total[u, v])
-    return {i: sum(math.log10([p1, p2, p3][min(k, 2)](*w[max(k - 2, 0) : k + 1])) for k in range(len(w))) for i, t in rows for w in [words(t)]}
+def test_large_counts():
+    keys, counts = np.array([3, 9, 1 << 63], np.uint64), np.array([1, 5 << 32, 7 << 40])
+    k, c = T.unsqueeze(*T.squeeze(keys, counts))
+    assert (k == keys).all() and (c == counts).all()
+    assert (T.merge([k, k], [c, c])[1] == 2 * counts).all()
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_triples_seen_once_count(spark, parts):
-    rng = random.Random(6)
-    some = [rng.choice(["a", "B", "b", "é"]) + str(int(rng.paretovariate(0.7)) % 300) for _ in range(400)]
-    texts = [" ".join(rng.choice(some[:20] if rng.random() < 0.6 else some) for _ in range(rng.randrange(0, 120))) for _ in range(80)]
-    texts += [t[-200:] for t in texts[:20]] + [None, "", "solo", "x " * 500, "once upon time", "once upon time"]
-    was = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        got = {r.doc_id: r.score for r in T.score(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", was)
-    want = brute_all(list(enumerate(texts)))
-    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), rtol=1e-6)
+def test_long_text(spark):
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(9000)) for _ in range(900_000))
+    rows = [(0, long), (1, "alpha1 beta2"), (2, long[:1000])]
+    got = {r.doc_id: r for r in T.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_tokens == 900_001 and got[0].n_known == 900_001 and got[0].score > got[0].base_score
