@@ -84,16 +84,15 @@ class Sequence:
             gaps |= gaps >> U64(shift)
         return np.where(gaps == 0, -1, within.astype(np.int64) - np.bitwise_count(gaps).astype(np.int64))
 
-    def _low_bits(self, part: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        width = self.width[part]
-        bit = (entry - self.entry[part]) * width
-        word, shift = self.low_at[part] + (bit >> 6), (bit & 63).astype(U64)
-        last = max(len(self.low) - 1, 0)
+    def _low_bits(self, bit: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The numbers of ``width`` bits that begin at the given bits of the low words."""
         if not len(self.low):
-            return np.zeros(len(entry), U64)
+            return np.zeros(len(bit), U64)
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        last = len(self.low) - 1
         x = self.low[np.minimum(word, last)] >> shift
-        y = self.low[np.minimum(word + 1, last)]
-        x |= np.where(shift > 0, y << ((U64(64) - shift) & U64(63)), U64(0))
+        y = self.low[np.minimum(word + 1, last)] << ((U64(64) - shift) & U64(63))
+        x |= np.where(shift > 0, y, U64(0))
         return x & ((ONE << width.astype(U64)) - ONE)
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,17 +120,27 @@ class Sequence:
         start[far] = self._select_zero(zero[far] - 1) - first_bit[far] - (bucket[far] - 1) + self.entry[part[far]]
         low = rest & ((ONE << width) - ONE)
         found = np.zeros(len(keys), bool)
-        # halving within buckets, which hold two values on average
-        lo, hi = start.copy(), end.copy()
-        active = np.flatnonzero(lo < hi)
-        while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            value = self._low_bits(part[active], mid)
-            less, same = value < low[active], value == low[active]
-            found[active[same]] = True
-            lo[active] = np.where(less, mid + 1, lo[active])
-            hi[active] = np.where(less, hi[active], mid)
-            active = active[lo[active] < hi[active]]
+        lo = start.copy()
+        # Within buckets: values are spread evenly, so every other guess is by proportion, the others halve what
+        # is left. Columns: row, part's width, its first bit, lo and hi, the values below and above them, key.
+        at = np.flatnonzero(start < end)
+        wide, bit, a, b, key = self.width[part[at]], self.low_at[part[at]] * 64 - self.entry[part[at]] * self.width[part[at]], start[at], end[at], low[at]
+        under_, over_ = np.zeros(len(at), U64), ONE << wide.astype(U64)
+        turn = 0
+        while len(at):
+            if turn & 1:
+                mid = (a + b) >> 1
+            else:
+                mid = np.minimum(a + ((b - a) * ((key - under_) / (over_ - under_))).astype(np.int64), b - 1)
+            value = self._low_bits(bit + mid * wide, wide)
+            less, same = value < key, value == key
+            found[at[same]] = True
+            lo[at] = np.where(less, mid + 1, mid)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            under_, over_ = np.where(less, value + ONE, under_), np.where(less, over_, value)
+            go = np.flatnonzero(~same & (a < b))
+            at, wide, bit, a, b, key, under_, over_ = (x[go] for x in (at, wide, bit, a, b, key, under_, over_))
+            turn += 1
         lo = np.where(beyond, self.entry[part + 1], np.where(under, self.entry[part], lo))
         return lo, found & ~under & ~beyond
 
@@ -154,7 +163,8 @@ class Sequence:
             bit += over * half
             bits = np.where(over, bits >> U64(half), bits)
         high = ((lo - at) * 64 + bit - i).astype(U64)
-        return self.begin[part] + ((high << self.width[part].astype(U64)) | self._low_bits(part, entry))
+        width = self.width[part]
+        return self.begin[part] + ((high << width.astype(U64)) | self._low_bits(self.low_at[part] * 64 + (entry - self.entry[part]) * width, width))
 
 
     def span(self, a: int, b: int) -> np.ndarray:
