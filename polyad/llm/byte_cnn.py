@@ -3,11 +3,13 @@
 Each byte has a learned vector; learned filters of eight bytes stand at every fourth byte. A chunk is 512
 bytes and shares 64 with the next; chunks cover the whole document. A filter's strongest response in a
 chunk is the chunk's feature. The mean and the maximum over the chunks go through a small layer to one
-probability.
+probability. Windows and chunks are worked on in stretches, so a text of any length takes a few times its
+own size.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,8 +24,11 @@ WIDTH, STEP, CELL, CHUNK_CELLS, CHUNK_STEP = 8, 4, 64, 8, 7
 FILTERS, DIM, HIDDEN = 48, 8, 16
 PER_CELL = CELL // STEP
 
-#: Labelled documents to learn from, at most, and the characters of the longest that is used: 120 million in all.
-MOST_ROWS, MOST_CHARS = 4_000, 30_000
+#: Cells worked on at a time.
+STRETCH = 2048
+
+#: Labelled documents to learn from, at most, each with its whole text.
+MOST_ROWS = 4_000
 
 Model = dict[str, np.ndarray]
 
@@ -52,9 +57,8 @@ class Layout:
         self.total = int(cells.sum())
         self.buffer = np.zeros(self.total * CELL + WIDTH, np.uint8)
         self.buffer[np.arange(len(t.data)) + np.repeat(first * CELL - t.off[:-1], size)] = t.data
-        # windows that start after a text's end look at nothing
-        at = np.arange(self.total * PER_CELL) * STEP - np.repeat(first * CELL, cells * PER_CELL)
-        self.beyond = at >= np.repeat(size, cells * PER_CELL)
+        # where each cell's text ends, in bytes of the buffer: windows that start there or later look at nothing
+        self.end = np.repeat(first * CELL + size, cells)
         chunks = np.maximum(1, -(-(cells - 1) // CHUNK_STEP))
         self.of = np.repeat(np.arange(t.n), chunks)
         self.begin = np.cumsum(chunks) - chunks
@@ -65,30 +69,41 @@ class Layout:
         self.chunks = chunks
 
 
+def _windows(m: Model, x: Layout, start: np.ndarray) -> np.ndarray:
+    """The vectors of the WIDTH bytes from each start on."""
+    return m["bytes"][x.buffer[start[:, None] + np.arange(WIDTH)]].reshape(len(start), WIDTH * DIM)
+
+
 def forward(m: Model, x: Layout, keep: bool = False) -> tuple[np.ndarray, dict]:
     """The logit of each text; what the backward pass needs."""
-    rows = m["bytes"][x.buffer]
-    window = np.lib.stride_tricks.as_strided(rows, (x.total * PER_CELL, WIDTH * DIM), (STEP * DIM * 4, 4))
-    window = np.ascontiguousarray(window)
-    out = window @ m["filters"]
-    out += m["shift"]
-    np.maximum(out, 0, out=out)
-    out[x.beyond] = 0
-    out = out.reshape(x.total, PER_CELL, FILTERS)
-    cell = out.max(1)
-    near = cell[x.cells]
-    chunk = near.max(1)
+    cell = np.empty((x.total, FILTERS), np.float32)
+    best = np.empty((x.total, FILTERS), np.uint8) if keep else None
+    for a in range(0, x.total, STRETCH):
+        b = min(a + STRETCH, x.total)
+        start = np.arange(a * PER_CELL, b * PER_CELL) * STEP
+        out = _windows(m, x, start) @ m["filters"]
+        out += m["shift"]
+        np.maximum(out, 0, out=out)
+        out[start >= np.repeat(x.end[a:b], PER_CELL)] = 0
+        out = out.reshape(b - a, PER_CELL, FILTERS)
+        cell[a:b] = out.max(1)
+        if keep:
+            best[a:b] = out.argmax(1)
+    chunk = np.empty((len(x.of), FILTERS), np.float32)
+    position = np.empty(chunk.shape, np.int64) if keep else None
+    for a in range(0, len(x.of), STRETCH):
+        cells = x.cells[a : a + STRETCH]
+        near = cell[cells]
+        chunk[a : a + STRETCH] = near.max(1)
+        if keep:
+            which = np.take_along_axis(cells, near.argmax(1), 1)
+            position[a : a + STRETCH] = which * PER_CELL + best[which, np.arange(FILTERS)]
     mean = np.add.reduceat(chunk, x.begin) / x.chunks[:, None].astype(np.float32)
     top = np.maximum.reduceat(chunk, x.begin)
     doc = np.concatenate((mean, top), 1)
     hidden = np.maximum(doc @ m["hidden"] + m["hidden_shift"], 0)
     logit = hidden @ m["last"] + m["last_shift"][0]
-    if not keep:
-        return logit, {}
-    which = np.take_along_axis(x.cells, near.argmax(1), 1)
-    best = out.argmax(1)
-    position = which * PER_CELL + best[which, np.arange(FILTERS)]
-    return logit, {"window": window, "chunk": chunk, "top": top, "doc": doc, "hidden": hidden, "position": position}
+    return logit, {"chunk": chunk, "top": top, "doc": doc, "hidden": hidden, "position": position} if keep else {}
 
 
 def backward(m: Model, x: Layout, kept: dict, slope: np.ndarray) -> Model:
@@ -102,16 +117,20 @@ def backward(m: Model, x: Layout, kept: dict, slope: np.ndarray) -> Model:
     tied = (kept["chunk"] == kept["top"][x.of]).astype(np.float32)
     chunk = chunk + doc[x.of, FILTERS:] * tied / np.add.reduceat(tied, x.begin)[x.of]
     chunk *= kept["chunk"] > 0
-    g["filters"] = np.einsum("cf,cfk->kf", chunk, kept["window"][kept["position"]])
+    g["filters"], g["bytes"] = np.zeros_like(m["filters"]), np.zeros_like(m["bytes"])
+    for a in range(0, len(chunk), STRETCH // 8):
+        part, start = chunk[a : a + STRETCH // 8], kept["position"][a : a + STRETCH // 8] * STEP
+        window = _windows(m, x, start.ravel()).reshape(*start.shape, WIDTH * DIM)
+        g["filters"] += np.einsum("cf,cfk->kf", part, window)
+        back = (part[:, :, None] * m["filters"].T).reshape(*part.shape, WIDTH, DIM)
+        codes = x.buffer[start[:, :, None] + np.arange(WIDTH)].ravel()
+        g["bytes"] += np.stack([np.bincount(codes, back[..., d].ravel(), 256) for d in range(DIM)], 1).astype(np.float32)
     g["shift"] = chunk.sum(0)
-    back = (chunk[:, :, None] * m["filters"].T).reshape(*chunk.shape, WIDTH, DIM)
-    codes = x.buffer[kept["position"][:, :, None] * STEP + np.arange(WIDTH)].ravel()
-    g["bytes"] = np.stack([np.bincount(codes, back[..., d].ravel(), 256) for d in range(DIM)], 1)
     return g
 
 
-def train(texts: list[str], good: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> Model:
-    """A model fitted to the labels by Adam on the cross entropy."""
+def train(texts: list[bytes], good: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 4e-3, seed: int = 3) -> Model:
+    """A model fitted by Adam on the cross entropy to the labels of (compressed) texts."""
     m, r = fresh(), np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in m.items()}
     second = {k: np.zeros_like(v) for k, v in m.items()}
@@ -120,7 +139,7 @@ def train(texts: list[str], good: np.ndarray, epochs: int = 6, batch: int = 32,
         order = r.permutation(len(texts))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            x = Layout(Texts(pa.array([texts[i] for i in rows], pa.string())))
+            x = Layout(Texts(pa.array([zlib.decompress(texts[i]) for i in rows], pa.binary()).cast(pa.string())))
             logit, kept = forward(m, x, keep=True)
             slope = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - good[rows]) / len(rows)).astype(np.float32)
             step += 1
@@ -155,16 +174,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
-    """A model of at most ``most_rows`` labelled documents outside the held-out fold; None without any."""
+    """A model of at most ``most_rows`` labelled documents outside the held-out fold; None without any.
+
+    Of several texts of one id the smallest counts, so that no id comes to the driver more than once.
+    """
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows))  # at most 4,000 rows of 12 bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.coalesce("text", F.lit("")).alias("_t"))
-    rows = texts.join(sample, F.col("_d") == F.col("_id")).filter(F.length("_t") <= MOST_CHARS).select("_d", "_q", "_t").collect()
-    rows.sort()
+    found = texts.join(sample, F.col("_d") == F.col("_id")).groupBy("_d", "_q").agg(F.min("_t").alias("_t"))
+    # one partition at a time comes to the driver, where texts stay compressed
+    rows = sorted((r["_d"], r["_q"], zlib.compress(r["_t"].encode())) for r in found.toLocalIterator())
     if not rows:
         return None
-    return train([r["_t"] for r in rows], np.array([r["_q"] for r in rows], np.float32))
+    return train([t for *_, t in rows], np.array([q for _, q, _ in rows], np.float32))
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

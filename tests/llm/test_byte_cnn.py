@@ -73,3 +73,23 @@ def test_held_out_accuracy_and_columns(spark):
     assert np.mean([r.predicted == (r.doc_id % 5 != 0) for r in test if r.doc_id < 600]) > 0.97
     assert {r.score for r in C.classify(spark, docs, labelled.limit(0)).collect()} == {0.5}
     assert C.classify(spark, docs.limit(0), labelled).count() == 0
+
+
+def test_long_labelled_texts_teach(spark, monkeypatch):
+    rng = random.Random(6)
+    seen = []
+    monkeypatch.setattr(C, "train", lambda texts, good: seen.extend(len(zlib.decompress(t)) for t in texts) or C.fresh())
+    texts = ["w" * n for n in (130_000, 5, 1_000_000)] + ["".join(rng.choice("abc ") for _ in range(50)) for _ in range(30)]
+    rows = list(enumerate(texts)) + [(0, "z")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    C.fit(docs, labels)
+    taught = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(seen) == sorted(len(texts[i]) for i in taught)  # the smaller text of id 0, every id once
+
+
+def test_very_long_text():
+    rng = random.Random(7)
+    m, text = C.fresh(), "".join(rng.choice("ab cé.\n") for _ in range(200_000))
+    assert np.allclose(scores(m, [text, "x"]), [brute(m, text), brute(m, "x")], atol=1e-4)
+    assert np.isfinite(scores(m, ["long text " * 1_600_000])).all()
