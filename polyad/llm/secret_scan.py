@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ HEX_CHARS_A_TOKEN = 2.5
 LEAST_CHARS = 20
 HEX_RUN = re.compile(rb"[0-9A-Fa-f]{20,}\Z")
 PIECE = re.compile(rb"[=/_-]+|[^=/_-]+")
+#: Characters encoded at a time: a longer string's tokens are those of its stretches.
+STRETCH = 4096
 ANY_UUID = re.compile(rb"(?<![^=/_-])[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}(?![^=/_-])")
 
 _encodings: dict[str, object] = {}
@@ -63,7 +66,8 @@ def is_known(s: bytes) -> bool:
 def excess(s: bytes, path: str) -> float:
     """Characters that a string lacks to be as long as its tokens ask of text: above 0 if it is random."""
     least = HEX_CHARS_A_TOKEN if HEX_RUN.match(s) and mixed(s) else LEAST_CHARS_A_TOKEN
-    return least * len(encoding(path).encode_ordinary(s.decode())) - len(s)
+    encode = encoding(path).encode_ordinary
+    return least * sum(len(encode(s[k : k + STRETCH].decode())) for k in range(0, len(s), STRETCH)) - len(s)
 
 
 def random_parts(run: bytes, path: str) -> list[tuple[int, int]]:
@@ -121,9 +125,13 @@ def find(text: bytes, path: str) -> list[tuple[int, int, str, int]]:
     if b"AKIA" in text:
         out += [(m.start(), m.end(), "access", m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
-    base = list(out)
+    base, k = sorted(out), 0
+    reach = list(itertools.accumulate((b for _, b, _, _ in base), max))
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
+        # base spans that begin before the run's end; the furthest of their ends tells whether one touches it
+        while k < len(base) and base[k][0] < m.end():
+            k += 1
+        if not k or reach[k - 1] <= m.start():
             out += [(m.start() + a, m.start() + b, "random", m.start() + a) for a, b in random_parts(m.group(), path)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
