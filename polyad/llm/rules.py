@@ -203,13 +203,15 @@ def base_failed(stat: dict[str, Column]) -> Column:
 def learn_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> list[tuple[Condition, ...]]:
     """Rules from at most ``most_rows`` labelled documents that the fixed limits leave.
 
-    Of several labels of one id the smallest counts; rows without label or id teach nothing.
+    Of several labels of one id the smallest counts, of several texts the one of the least statistics; rows
+    without label or id teach nothing.
     """
     tune(spark)
     marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
     sample = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(most_rows))  # at most 20,000 rows of 12 bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").alias("_t"))
-    rows = texts.join(sample, F.col("_d") == F.col("_id")).select("_d", "_q", stats_udf("_t").alias("s")).select("_d", "_q", "s.*").toPandas()
+    measured = texts.join(sample, F.col("_d") == F.col("_id")).select("_d", "_q", stats_udf("_t").alias("s"))
+    rows = measured.groupBy("_d", "_q").agg(F.min("s").alias("s")).select("_d", "_q", "s.*").toPandas()
     rows = rows.sort_values(["_d", *STATS]).reset_index(drop=True)
     table, bad = rows[list(STATS)].to_numpy(np.int64), rows["_q"].to_numpy() == 0
     left = (table[:, 0] >= 50) & (table[:, 4] * 100 <= table[:, 0] * 50)
