@@ -1,10 +1,13 @@
 """Main text of web pages by tree scoring.
 
-Every block with text passes points for its length and commas to its parent, half to the grandparent, less
-further up, discounted by the share of its text in links. The container with the most points, discounted by
-its own links, is the article; siblings of enough points or with real sentences stay with it. What is
-marked as menu, header, footer, sidebar, notice, advert, form, script, style or comments is cut before,
-unless it holds the article, or most of the unlinked text of a page that marks no article.
+Every block with text passes points for its length and commas to its parent, half to the grandparent, half
+of that further up and so on, discounted by the share of its text in links. The container with the most points,
+discounted by its own links, is the article; siblings of enough points or with real sentences stay with it.
+Elements whose tag or role says menu, footer, sidebar, form, script or style are cut before, unless they hold the
+article, or most of the unlinked text of a page that marks no article. A name (class or id) says as much
+only if all its words are of that kind ("sidebar-left"); of names that merely contain such a word
+("notice-period", "with-sidebar"), an element goes if its text is like a menu's: mostly links, or short pieces
+without sentences. Each step takes time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -43,24 +46,30 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 SIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adbox adslot adsense adunit sponsor sponsored sponsors promo promos promotion promoted banner banners sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login share sharing sharebar social related recommended recommendations comment comments disqus respond replies reply widget widgets toolbar pagination pager skip outbrain taboola".split()
 )
+#: Words that go with those above in a name without telling of other content.
+NEUTRAL_NAMES = frozenset(
+    "area article bar block body bottom box btn button buttons card cell col column container content-info entry form global group heading head hidden icon icons inline inner item items js left links link list main meta mobile nav out outer page panel pane popular post posts primary right row secondary section site slot small sticky sub tabs text title top unit wide wrap wrapper".split()
+)
 #: What may be cut only where it doesn't hold the page's own marks: anything marked by name or role, and these.
 CENTRAL = frozenset(["article", "main", "h1"])
 CAN_WRAP = frozenset(["form"])
 
 
 class Node:
-    __slots__ = ("attributes", "central", "chars", "commas", "cut", "hidden", "holds", "index", "links", "parent", "score", "tag")
+    __slots__ = ("block", "central", "chars", "commas", "cut", "hidden", "holds", "index", "inner_chars", "inner_links", "links", "maybe", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, index: int) -> None:
         self.tag, self.parent, self.index = tag, parent, index
-        self.cut = self.hidden = self.holds = False
+        self.block = self if parent is None or tag in BLOCK else parent.block
+        self.cut = self.hidden = self.holds = self.maybe = False
         self.central = (parent is not None and parent.central) or tag in ("article", "main")
-        self.chars = self.links = self.commas = 0
+        self.chars = self.links = self.commas = self.inner_chars = self.inner_links = 0
         self.score = 0.0
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> str:
-    """"hidden", or "side" where names or roles mark an element as no part of an article."""
+    """"hidden", "side" where names or roles mark an element as no part of an article, "maybe" where a name
+    has such a word among others."""
     found = ""
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         name, value = (name or bare).lower(), a or b or c
@@ -71,8 +80,10 @@ def _marked(tag: str, attributes: str, inside: bool) -> str:
         if name in ("class", "id") and tag not in ("html", "body", "main"):
             for word in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(word)]
-                if any(p in SIDE_NAMES for p in (parts if tag != "article" else ["".join(parts)])) and not (inside and parts[-1:] == ["header"]):
-                    found = "side"
+                if not any(p in SIDE_NAMES for p in (parts if tag != "article" else ["".join(parts)])) or (inside and parts[-1:] == ["header"]):
+                    continue
+                sure = all(p in SIDE_NAMES or p in NEUTRAL_NAMES or p.isdigit() for p in parts)
+                found = "side" if sure else found or "maybe"
     return found
 
 
@@ -81,12 +92,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
     root = Node("html", None, 0)
     nodes, texts, stack = [root], [], [root]
     links = 0
+    open_: dict[str, int] = {}
     at, end = 0, len(html)
 
     def pop_to(i: int) -> None:
         nonlocal links
         for n in stack[i:]:
             links -= n.tag == "a"
+            open_[n.tag] -= 1
         del stack[i:]
 
     while at < end:
@@ -115,7 +128,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         at = m.end()
         tag = m.group(1).lower()
         if html[lt + 1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
                     pop_to(i)
                     break
@@ -128,7 +141,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         if tag == "html":
             continue
         if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_.get("p") else ():
                 if stack[i].tag == "p":
                     pop_to(i)
                     break
@@ -136,7 +149,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
                     break
         if tag in CLOSES:
             closing, limit = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_.get(c) for c in closing) else ():
                 if stack[i].tag in closing:
                     pop_to(i)
                 elif stack[i].tag in limit:
@@ -146,8 +159,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         attributes = m.group(2)
         side = tag in CUT or (tag == "header" and not node.central)
         named = _marked(tag, attributes, node.central) if attributes else ""
-        node.cut, node.hidden = side or bool(named), named == "hidden"
-        if tag in CENTRAL and not (named and tag == "article"):
+        node.cut, node.hidden, node.maybe = side or named in ("side", "hidden"), named == "hidden", named == "maybe"
+        if tag in CENTRAL and not (node.cut and tag == "article"):
             up = node.parent
             while up is not None and not up.holds:
                 up.holds = True
@@ -159,6 +172,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, bool]]]:
         if attributes.endswith("/") and tag not in BLOCK:
             continue
         stack.append(node)
+        open_[tag] = open_.get(tag, 0) + 1
         links += tag == "a"
     return nodes, texts
 
@@ -193,59 +207,64 @@ def spare_wrappers(nodes: list[Node], texts: list[tuple[Node, str, bool]]) -> No
             n.cut = False
 
 
+def cut_maybes(nodes: list[Node], texts: list[tuple[Node, str, bool]]) -> None:
+    """Cuts elements whose name has a side word among others, and whose text is like a menu's."""
+    some = [n for n in nodes if n.maybe and not n.cut and not n.holds]
+    if not some:
+        return
+    chars, linked, full = ([0] * len(nodes) for _ in range(3))
+    for n, text, link in texts:
+        size = len(text.strip())
+        if size and text != "\0":
+            chars[n.index] += size
+            linked[n.index] += size * link
+            full[n.index] += size * (size >= 80 or ("." in text and size >= 40))
+    for n in reversed(nodes):
+        if n.parent is not None:
+            for x in (chars, linked, full):
+                x[n.parent.index] += x[n.index]
+    for n in some:
+        n.cut = linked[n.index] * 2 > chars[n.index] or full[n.index] * 2 < chars[n.index]
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, one space for white space inside, two line feeds between."""
     if not html:
         return ""
     nodes, texts = parse(html)
     spare_wrappers(nodes, texts)
+    cut_maybes(nodes, texts)
     for n in nodes:
         n.cut = n.cut or (n.parent is not None and n.parent.cut)
-    blocks: dict[int, Node] = {}
 
-    def block_of(n: Node) -> Node:
-        if n.index not in blocks:
-            up = n
-            while up.parent is not None and up.tag not in BLOCK:
-                up = up.parent
-            blocks[n.index] = up
-        return blocks[n.index]
-
-    whole: dict[int, list[int]] = {}
     for n, text, link in texts:
         if n.cut:
             continue
-        b, size = block_of(n), len(text.strip())
+        b, size = n.block, len(text.strip())
         if not size or text == "\0":
             continue
         b.chars += size
         b.links += size * link
         b.commas += text.count(",") + text.count("、") + text.count("，")
-    for n in nodes:
-        up = n if n.chars else None
-        while up is not None:
-            t = whole.setdefault(up.index, [0, 0])
-            t[0] += n.chars
-            t[1] += n.links
-            up = up.parent
-        if n.chars >= 25 and n.parent is not None:
-            points = (1 + n.commas + min(n.chars / 100, 3)) * (1 - n.links / n.chars)
-            up, share = n.parent, 1.0
-            depth = 0
-            while up is not None:
-                if up.tag in BLOCK:
-                    depth += 1
-                    up.score += points * share
-                    share = 0.5 if depth == 1 else 1 / (3 * depth)
-                up = up.parent
+    # children come after their parents: one pass from behind adds up what is inside, and the points
+    for n in reversed(nodes):
+        n.inner_chars += n.chars
+        n.inner_links += n.links
+        if n.parent is None:
+            continue
+        n.parent.inner_chars += n.inner_chars
+        n.parent.inner_links += n.inner_links
+        if n is not n.block:
+            continue
+        points = (1 + n.commas + min(n.chars / 100, 3)) * (1 - n.links / n.chars) if n.chars >= 25 else 0.0
+        n.parent.block.score += points + n.score / 2
 
     def density(n: Node) -> float:
-        chars, links = whole.get(n.index, (0, 0))
-        return links / chars if chars else 0.0
+        return n.inner_links / n.inner_chars if n.inner_chars else 0.0
 
     best = max((n for n in nodes if n.score > 0 and not n.cut), key=lambda n: (n.score * (1 - density(n)), -n.index), default=None)
     if best is None:
-        central = [n for n in nodes if n.tag in ("article", "main") and not n.cut and n.index in whole]
+        central = [n for n in nodes if n.tag in ("article", "main") and not n.cut and n.inner_chars]
         best = central[0] if central else nodes[0]
     up = best
     while up is not None and up.tag not in ("article", "main"):
@@ -257,7 +276,7 @@ def main_text(html: str | None) -> str:
         for n in nodes:
             if n.parent is not chosen.parent or n is chosen or n.cut:
                 continue
-            chars = whole.get(n.index, (0, 0))[0]
+            chars = n.inner_chars
             if n.score * (1 - density(n)) >= max(10, 0.2 * top) or (n.tag == "p" and density(n) < 0.25 and chars > 80) or (n.tag in ("h1", "h2") and n.index < chosen.index and density(n) == 0):
                 kept.add(n.index)
     if up is None:
@@ -271,10 +290,10 @@ def main_text(html: str | None) -> str:
     last: Node | None = None
     for n, text, _ in texts:
         if n.cut or not inside[n.index]:
-            if n.cut and block_of(n) is not last:
-                last = None if block_of(n).tag in BLOCK else last
+            if n.cut and n.block is not last:
+                last = None if n.block.tag in BLOCK else last
             continue
-        b = block_of(n)
+        b = n.block
         if b is not last or text == "\0":
             if part:
                 out.append("".join(part))
