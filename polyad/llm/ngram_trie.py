@@ -229,7 +229,8 @@ def built_rows(folder: str, level: int, cuts: np.ndarray, end: int) -> Callable[
         begin, last = int(cuts[i]), int(cuts[i + 1]) if i + 1 < len(cuts) else end
         path = f"{folder}/{level}-{i}"
         about = {"part": write_part(path, begin, max(last - begin, 1), keys - U64(begin)), "total": int(counts.sum()), "most": int(counts.max(initial=0))}
-        save(f"{path}.count", counts.astype(np.uint64))
+        about["kind"] = np.min_scalar_type(about["most"]).str
+        save(f"{path}.count", counts.astype(about["kind"]))
         if level == 2:
             about["ptr"] = write_pointers(path, begin, last, opened(folder, 1).total["words"], keys)
         if level > 1:
@@ -293,7 +294,7 @@ def settled_rows(folder: str, level: int, kind: str, prior: float) -> Callable[[
                 if p is None:
                     continue
                 sequence(source, str(level), p, at)
-                counts = np.fromfile(f"{folder}/{source}.count", np.uint64)
+                counts = np.fromfile(f"{folder}/{source}.count", plan["kind"])
                 if level < 3:
                     put(f"{level}.count", at["n"], counts.astype(kind))
                 if level > 1:
@@ -329,7 +330,7 @@ def _build(spark: SparkSession, docs: DataFrame, folder: str, level: int, cuts:
         files[f"{level}.count"] = places[None]["n"] * np.dtype(kind).itemsize
     if level > 1:
         files[f"{level}.code"] = places[None]["n"]
-    plans = {i: {"i": i, "part": r["part"], "at": places[i]} for i, r in rows.items()}
+    plans = {i: {"i": i, "part": r["part"], "at": places[i], "kind": r["kind"]} for i, r in rows.items()}
     if level == 2:
         # a range without pairs still has words to point for
         words = opened(folder, 1).total["words"]
