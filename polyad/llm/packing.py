@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Only lengths decide where a piece can go, and there are at most ``room`` of them. So the plan is made
-from the histogram of lengths, whatever the number of pieces: for the longest length left, its gap is
-filled exactly by one, two or three lengths found through tables of available sums, as many times as
-all counts allow; where no such combination is left, the longest length that fits follows (best fit).
-A plan step says: from sequence s on, n sequences hold these lengths in this order. Pieces of a length
-are numbered, and the number finds the step.
+from the histogram of lengths, whatever the number of pieces. An index holds, for every sum up to ``room``, a
+pair and a triple of available lengths that give it. For the longest length left, its gap is looked up as one
+length, a pair and a triple, and what fills it exactly is used as many times as all counts allow; where
+no such combination is left, the longest length that fits follows (best fit). A plan step says: from sequence
+s on, n sequences hold these lengths in this order. Pieces of a length are numbered, and the number finds
+the step.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .textvec import LOWER, SPACE, U64, Texts, mix, slices
 
 ROOM = 4096
 END = 1
-CELLS = 64
+#: Pieces of one length that are numbered together.
+CELL_PIECES = 200_000
 
 _KIND = np.full(256, 3, np.uint8)
 _KIND[SPACE] = 0
@@ -148,7 +150,8 @@ _tokenizers: dict[str, WordTokenizer] = {}
 
 
 def piece_rows(path: str, room: int = ROOM) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, piece, start, length, ids_crc32) of documents (doc_id, text)."""
+    """Rows (doc_id, piece, start, length, ids_crc32, mark) of documents (doc_id, text). mark: any number, which
+    tells equal rows apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
@@ -164,12 +167,72 @@ def piece_rows(path: str, room: int = ROOM) -> Callable[[Iterator[pa.RecordBatch
                         piece = doc[s : s + room]
                         rows.append((d, p, s, len(piece), zlib.crc32(piece)))
                 d, p, s, n, c = map(np.array, zip(*rows))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("mark", pa.array(d, pa.int32()))
 
     return run
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, mark int"
+
+
+class Sums:
+    """An index of the sums of one, two and three available lengths.
+
+    pair[s]: the longer length of a pair that gives s; triple[s]: a length that with a pair gives s; 0 where there
+    is none. Lengths only ever run out, so an entry that was 0 stays so, and one that names a length which
+    has run out is looked for anew when it is asked for. keep: whether a failure is for good, which it isn't
+    while lengths are held back for a try.
+    """
+
+    def __init__(self, left: np.ndarray) -> None:
+        self.left, room = left, len(left) - 1
+        self.pair, self.triple = np.zeros(room + 1, np.int64), np.zeros(room + 1, np.int64)
+        have = np.flatnonzero(left)
+        for a in have.tolist():  # rising, so that the longest length that gives a sum stays
+            b = have[(have <= a) & (have <= room - a)]
+            self.pair[a + (b if left[a] > 1 else b[b < a])] = a
+        some = np.flatnonzero(self.pair)
+        for a in have.tolist():
+            self.triple[a + some[some <= room - a]] = a
+
+    def search(self, total: int) -> tuple[int, int] | None:
+        """A pair of available lengths, the longer one as long as possible."""
+        a = np.arange(total - 1, (total - 1) // 2, -1)
+        ok = (self.left[a] > 0) & (self.left[total - a] > 0) & ((2 * a != total) | (self.left[a] > 1))
+        return (int(a[ok.argmax()]), total - int(a[ok.argmax()])) if len(a) and ok.any() else None
+
+    def two(self, total: int, keep: bool) -> tuple[int, int] | None:
+        a = int(self.pair[total])
+        if not a:
+            return None
+        if self.left[a] > (2 * a == total) and self.left[total - a] > 0:
+            return a, total - a
+        found = self.search(total)
+        if found or keep:
+            self.pair[total] = found[0] if found else 0
+        return found
+
+    def three(self, total: int, keep: bool) -> tuple[int, int, int] | None:
+        have = np.flatnonzero(self.left[: int(self.triple[total]) + 1])[::-1]
+        have = have[(3 * have >= total) & (have < total - 1)]
+        for a in have[self.pair[total - have] > 0].tolist():
+            rest = self.two(total - a, keep)
+            if rest and self.left[a] <= rest.count(a):  # the pair takes what there is of it
+                self.left[a] -= 1
+                rest = self.search(total - a)
+                self.left[a] += 1
+            if rest:
+                self.triple[total] = a
+                return (a, *rest)
+        if keep:
+            self.triple[total] = 0
+        return None
+
+    def exact(self, total: int, keep: bool = True) -> tuple[int, ...] | None:
+        """One, two or three available lengths of this sum."""
+        if self.left[total] > 0:
+            return (total,)
+        return self.two(total, keep) or self.three(total, keep)
 
 
 def plan(counts: np.ndarray, room: int = ROOM) -> list[tuple[int, tuple[int, ...]]]:
@@ -188,38 +251,14 @@ def plan(counts: np.ndarray, room: int = ROOM) -> list[tuple[int, tuple[int, ...
         left[some] -= times * need[some]
         steps.append((times, lengths))
 
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        """Two lengths of this sum, the longer one as long as possible."""
-        hi = min(top, total - 1)
-        a = np.arange(hi, (total - 1) // 2, -1)
-        b = total - a
-        ok = (left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1))
-        i = int(ok.argmax()) if len(ok) else 0
-        return (int(a[i]), int(b[i])) if len(ok) and ok[i] else None
-
-    def exact(gap: int) -> tuple[int, ...] | None:
-        if left[gap] > 0:
-            return (gap,)
-        if two := pair(gap, gap):
-            return two
-        have = np.flatnonzero(left[:gap])[::-1]
-        for a in have.tolist():
-            left[a] -= 1
-            two = pair(gap - a, a) if gap - a > 1 else None
-            left[a] += 1
-            if two:
-                return (a, *two)
-            if 3 * a < gap:
-                break
-        return None
-
+    sums = Sums(left)
     for longest in range(room, 0, -1):
         while left[longest] > 0:
             if longest == room:
                 use((longest,))
                 continue
             left[longest] -= 1
-            found = exact(room - longest)
+            found = sums.exact(room - longest)
             chosen = [longest]
             if found:
                 chosen += found
@@ -233,7 +272,7 @@ def plan(counts: np.ndarray, room: int = ROOM) -> list[tuple[int, tuple[int, ...
                     # once a few pieces stand, the rest may close exactly
                     if gap and len(chosen) < 64:
                         keep, left[:] = left.copy(), taken
-                        rest = exact(gap)
+                        rest = sums.exact(gap, keep=False)
                         left[:] = keep
                         if rest:
                             chosen += rest
@@ -282,13 +321,16 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, room: int = ROOM
     tune(spark)
     scratch = Scratch(spark)
     pieces = docs.select("doc_id", "text").mapInArrow(piece_rows(vocabulary, room), PIECES)
-    cell = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(CELLS)).cast("int")
-    pieces = scratch.save(pieces.withColumn("cell", cell), "pack-pieces")
-    # at most room * CELLS rows
-    cells = pieces.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
+    pieces = scratch.save(pieces, "pack-pieces")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most room rows
     counted = np.zeros(room + 1, np.int64)
-    for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():
-        counted[r["length"]] = r["n"]
+    for length, n in counts.items():
+        counted[length] = n
+    # a frequent length is numbered in many cells
+    parts = spark.createDataFrame([(length, -(-n // CELL_PIECES)) for length, n in counts.items()], "length long, parts long")
+    cell = F.pmod(F.xxhash64("doc_id", "piece", "mark"), F.col("parts")).alias("cell")
+    pieces = pieces.join(F.broadcast(parts), "length").select("doc_id", "piece", "start", "length", "ids_crc32", cell)
+    cells = pieces.groupBy("length", "cell").agg(F.count(F.lit(1)).alias("n"))
     steps = plan(counted, room)
     run = Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     start = cells.select("length", "cell", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
