@@ -6,8 +6,8 @@ as often as the document is emitted. Documents are ordered by size, which keeps
 about one longest document of the target.
 
 Positions are found without sorting a source in one task: documents are counted by (source, size,
-bucket of the id), the counts are prefix-summed, and only the documents of one such cell are numbered
-together.
+bucket of the id, range of ids), the counts are prefix-summed by size and then within a size, and only the
+documents of one such cell are numbered together: those of a bucket among 2**SPAN consecutive ids.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .runtime import Scratch, tune
 from .textvec import Texts, slices
 
 CELLS = 64
+#: Bits of the ids that are numbered together.
+SPAN = 22
 MOST = 3
 WEIGHTS = (1, 2, 3)
 
@@ -70,29 +72,34 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan_copies(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies of every row."""
+    """doc_id, source, digest (of the text), size, source_size, target and copies of every row."""
     tune(spark)
-    light = docs.select("doc_id", "source", "text").mapInArrow(word_counts, "doc_id long, source string, size long")
-    cell = F.coalesce(_hex(F.col("doc_id").cast("string"), 4) % CELLS, F.lit(0))
-    light = scratch.save(light.withColumn("cell", cell), "mix-sizes")
+    light = docs.select("doc_id", "source", F.xxhash64("text").alias("digest"), "text").mapInArrow(word_counts, "doc_id long, source string, digest long, size long")
+    # rows without doc_id are spread by their texts
+    cell = F.coalesce(_hex(F.col("doc_id").cast("string"), 4) % CELLS, F.pmod("digest", F.lit(CELLS)))
+    span = F.shiftright(F.coalesce("doc_id", "digest"), SPAN)
+    light = scratch.save(light.withColumns({"cell": cell, "span": span}), "mix-sizes")
     # one key for a null source, another for each name: joins then are plain equi-joins
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     light = light.withColumn("k", key)
-    cells = light.groupBy("k", "size", "cell").agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"))
-    sizes = cells.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    place = ["k", "size", "cell", "span"]
+    cells = light.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.first("source").alias("source"))
+    by_size = cells.groupBy("k", "size").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+    sizes = by_size.groupBy("k").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(sizes).select(F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("k"), "source_size", "target")
-    run = Window.partitionBy("k").orderBy("size", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    start = cells.select("k", "size", "cell", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("before"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    smaller = by_size.select("k", "size", before(Window.partitionBy("k").orderBy("size")).alias("smaller"))
+    start = cells.select(*place, before(Window.partitionBy("k", "size").orderBy("cell", "span")).alias("before")).join(smaller, ["k", "size"])
     offset = F.coalesce(_hex(F.col("source"), 12) / F.lit(float(1 << 48)), F.lit(0.5))
-    at = F.row_number().over(Window.partitionBy("k", "size", "cell").orderBy("doc_id"))
+    at = F.row_number().over(Window.partitionBy(*place).orderBy("doc_id", "digest"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
         light.withColumn("at", at)
-        .join(start, ["k", "size", "cell"])
+        .join(start, place)
         .join(goal, "k")
-        .withColumn("at", F.col("at") + F.col("before"))
+        .withColumn("at", F.col("at") + F.col("before") + F.col("smaller"))
         .withColumn("copies", (F.floor(rate * F.col("at") + offset) - F.floor(rate * (F.col("at") - 1) + offset)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies")
+        .select("doc_id", "source", "digest", "size", "source_size", "target", "copies")
     )
 
 
@@ -111,24 +118,29 @@ def mix(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it; all columns stay.
 
-    Rows that share a doc_id (or have none) share their copies: the number for such an id is spread over
-    its rows by rounding down, the first rows getting one more.
+    Rows of equal doc_id (or none), source and text share their copies: the number for them is spread over
+    the rows by rounding down, the first rows getting one more.
     """
     scratch = Scratch(spark)
-    plan = plan_copies(spark, docs, scratch).groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+    name = next(f"_mix{i}" for i in range(99) if not any(c.startswith(f"_mix{i}") for c in docs.columns))
+    same = ["doc_id", "source", "digest"]
+    plan = plan_copies(spark, docs, scratch).groupBy(*same).agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
     plan = scratch.save(plan, "mix-plan")
-    name = next(f"_copies{i}" for i in range(99) if f"_copies{i}" not in docs.columns)
-    known = plan.select(F.col("doc_id").alias(name + "id"), F.struct("c", "n").alias(name))
+    known = plan.select(*[F.col(c).alias(f"{name}{c}") for c in [*same, "c", "n"]])
+    met = docs["doc_id"].cast("long").eqNullSafe(known[f"{name}doc_id"]) & docs["source"].eqNullSafe(known[f"{name}source"]) & (F.xxhash64(docs["text"]) == known[f"{name}digest"])
     # the narrow side is hashed: texts cross once and aren't sorted, at every size alike
-    joined = docs.join(known.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(known[name + "id"]))
-    if plan.filter("n > 1").limit(1).count():
-        order = Window.partitionBy(docs["doc_id"]).orderBy(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"])
-        row = F.row_number().over(order) - 1
-    else:
-        row = F.lit(0)
-    times = (F.floor(F.col(name + ".c") / F.col(name + ".n")) + (row < F.col(name + ".c") % F.col(name + ".n")).cast("int")).cast("int")
-    repeated = joined.withColumn(name + "t", times).withColumn(name + "t", F.explode(F.when(F.col(name + "t") > 0, F.array_repeat(F.lit(0), F.col(name + "t"))).otherwise(F.array().cast("array<int>"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    joined = docs.join(known.hint("shuffle_hash"), met)
+    columns, c, n, row = [F.col(f"`{c}`") for c in docs.columns], F.col(f"{name}c"), F.col(f"{name}n"), F.col(f"{name}row")
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.withColumn(f"{name}t", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*columns)
+
+    if not plan.filter("n > 1").limit(1).count():
+        return repeated(joined, c)
+    # only rows that share all three are numbered, in the order of their other columns
+    order = Window.partitionBy(f"{name}doc_id", f"{name}source", f"{name}digest").orderBy(*[F.col(f"`{f.name}`") for f in docs.schema if f.dataType.typeName() not in ("map", "variant") and f.name not in ("text", "source", "doc_id")] or [F.lit(0)])
+    shared = joined.filter(n > 1).withColumn(f"{name}row", F.row_number().over(order) - 1)
+    return repeated(joined.filter(n == 1), c).union(repeated(shared, F.floor(c / n) + (row < c % n).cast("int")))
 
 
 ORACLE_SQL = r"""

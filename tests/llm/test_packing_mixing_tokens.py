@@ -124,3 +124,41 @@ def test_token_counts(spark, tmp_path):
     other = Tokenizer.from_file(BYTES)
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark, more, BYTES, cache).collect()}
     assert got == {1: len(other.encode("new text").ids), 2: len(other.encode("a b").ids)}
+
+
+def test_sums_find_what_is_there():
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        room = int(r.integers(6, 40))
+        left = np.where(r.random(room + 1) < 0.25, r.integers(1, 3, room + 1), 0)
+        left[0] = 0
+        sums = packing.Sums(left)
+        for _ in range(12):
+            bag = [x for x in range(1, room + 1) for _ in range(int(left[x]))]
+            can = {t for t in bag} | {bag[i] + bag[j] for i in range(len(bag)) for j in range(i)} | {bag[i] + bag[j] + bag[k] for i in range(len(bag)) for j in range(i) for k in range(j)}
+            for total in range(1, room + 1):
+                found = sums.exact(total)
+                assert (found is not None) == (total in can), (total, left)
+                assert found is None or (sum(found) == total and all(left[x] >= found.count(x) for x in found))
+            if bag:  # something runs out
+                left[bag[int(r.integers(len(bag)))]] -= 1
+
+
+def test_frequent_lengths_and_no_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 7)
+    rows = [(None, "a b")] * 120 + [(1, "a b")] * 30 + [(2, "w " * 9000)] + [(i, "x y z") for i in range(60)]
+    out = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out) == 210 + sum(r.doc_id == 2 and r.length > 20 for r in out)
+    ends = defaultdict(list)
+    for r in out:
+        ends[r.sequence_id].append((r.offset, r.offset + r.length))
+    assert all(a[1] == b[0] for e in map(sorted, ends.values()) for a, b in zip(e, e[1:])) and all(sorted(e)[0][0] == 0 for e in ends.values())
+
+
+def test_mixing_without_ids_and_with_repeated_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 2)
+    rows = [(None, f"w{i} x", "a", {"k": i}) for i in range(40)] + [(None, "same text", "a", {"k": 1})] * 20 + [(7, "p q r", s, None) for s in ("a", "b", None)] + [(i, "v " * 30, "b", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix0 map<string,int>")
+    mixed, copies = mixing.mix(spark, df).collect(), mixing.mix_documents(spark, df)
+    assert len(mixed) == len(rows) and copies.columns == df.columns
+    assert sum(r.taken for r in mixed) == sum(len(r.text.split()) for r in copies.collect())
