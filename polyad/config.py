@@ -130,6 +130,25 @@ class Decomposition(Record):
     share: float = 1.0
     seed: int = 42
     data_dir: str = "data"
+    transitive: bool = True
+    share_warmup: int = 0
+    normalise: bool = False
+    tol: float = 1e-5
+    patience: int = 5
+    warmup: int = 0
+    log_every: int = 1
+    check_every: int = 1
+    semantic_every: int = 0
+    semantic_key: str = "average_rank_score"
+    temperature: float = 0.1
+    evaluation_path: str = ""
+    evaluation_rows: int = 10_000
+    known_only: bool = False
+    checkpoint_every: int = 0
+    save_best: bool = True
+    resume: bool = False
+    overwrite: bool = False
+    log_path: str = ""
 
     def stem(self) -> str:
         """What all files of a model are named after."""
@@ -141,11 +160,11 @@ class Decomposition(Record):
 
     def paths(self) -> dict[str, str]:
         base = PurePosixPath(self.data_dir, "models", self.stem())
-        return {k: str(base / k) for k in ("model", "errors", "fitness", "config.json", "checkpoints", "runs.jsonl")}
+        return {k: str(base / k) for k in ("model", "best", "errors", "fitness", "config.json", "checkpoints", "runs.jsonl")}
 
     def structure(self) -> dict:
         """What a checkpoint must share to be continued."""
-        return {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("iterations", "data_dir")}
+        return {k: getattr(self, k) for k in ("method", "divergence", "dim", "rank", "shared", "share", "seed", "transitive", "share_warmup", "normalise")}
 
 
 def parser(kind: type[Record]) -> argparse.ArgumentParser:

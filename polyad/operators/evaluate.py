@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import MISSING
@@ -21,6 +22,48 @@ def sample(tuples: DataFrame, roles: list[str], n: int, seed: int = 42) -> DataF
     return rows.orderBy(F.xxhash64(*roles, F.lit(seed)), *roles).limit(n)
 
 
+def sampled_scan(spark: SparkSession, path: str, roles: list[str], n: int, seed: int = 42, oversample: int = 3, cache: str | None = None) -> DataFrame:
+    """n distinct complete tuples of a stored table, read from as few of its blocks as it takes.
+
+    Blocks (of files) come in the order of a seeded hash until they hold ``oversample`` times n rows; where
+    these have fewer than n distinct tuples, twice as many rows are read, and so on up to the whole table.
+    cache: a folder that keeps samples by roles, n, seed and the state of the files (names, sizes, times).
+    """
+    source = spark.read.parquet(path)
+    meta = source.select("_metadata.file_path", "_metadata.file_block_start", "_metadata.file_size", "_metadata.file_modification_time")
+    blocks = meta.groupBy("file_path", "file_block_start", "file_size", "file_modification_time").agg(F.count(F.lit(1)).alias("rows"))
+    found = blocks.orderBy(F.xxhash64("file_path", "file_block_start", F.lit(seed)), "file_path", "file_block_start").collect()  # one row a block
+    state = hashlib.sha1(repr((roles, n, seed, oversample, sorted((b["file_path"], b["file_size"], str(b["file_modification_time"])) for b in found))).encode()).hexdigest()
+    order = [F.xxhash64(*roles, F.lit(seed)), *roles]
+    if cache:
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{cache}/{state}/_SUCCESS")
+        if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
+            return spark.read.parquet(f"{cache}/{state}").orderBy(*order)
+    wanted = n * oversample
+    while True:
+        chosen, held = [], 0
+        for b in found:
+            if held >= wanted:
+                break
+            chosen.append((b["file_path"], b["file_block_start"]))
+            held += b["rows"]
+        part = source
+        if len(chosen) < len(found):
+            files = sorted({f for f, _ in chosen})
+            table = spark.createDataFrame(chosen, "_file string, _start long")
+            part = source.select(*roles, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).filter(F.col("_file").isin(files)).join(F.broadcast(table), ["_file", "_start"], "left_semi")
+        rows = part.select(*roles).dropna().dropDuplicates().orderBy(*order).limit(n)
+        if len(chosen) == len(found) or rows.count() == n:
+            break
+        wanted *= 2
+    if rows.count() < n:
+        raise ValueError(f"{path} has fewer than {n} distinct complete tuples")
+    if cache:
+        rows.write.mode("overwrite").parquet(f"{cache}/{state}")
+        return spark.read.parquet(f"{cache}/{state}").orderBy(*order)
+    return rows
+
+
 def ranked(model: Tucker, tuples: DataFrame, temperature: float = 0.1) -> DataFrame:
     """(role tokens, role, rank, prob) of every known tuple and role.
 

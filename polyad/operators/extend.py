@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import Tucker
+from .model import Tucker, UnknownToken
+from .tucker import contract
 from .vocab import checked_broadcast
 
 EPS = 1e-12
@@ -94,6 +96,49 @@ def extend(model: Tucker, tuples: DataFrame, role: str, normalise: str | None =
     return out.select(F.lit(role).alias("role"), "token", F.col("cnt").cast("long").alias("cnt"), "vec")
 
 
+@dataclass
+class Extended:
+    """A model with an extension: look-ups find the base vocabulary first, then the extension. Arrays are shared
+    with the model, nothing is copied."""
+
+    model: Tucker
+    vectors: dict[tuple[str, str], np.ndarray]
+
+    @classmethod
+    def of(cls, model: Tucker, extension: DataFrame) -> Extended:
+        """The extension's rows come to the driver: as many as the vocabulary that is being made."""
+        return cls(model, {(r["role"], r["token"]): np.array(r["vec"]) for r in extension.collect()})
+
+    def latent(self, token: str, role: str) -> np.ndarray:
+        if token in self.model.index[self.model.role(role)]:
+            return self.model.latent(token, role)
+        if (role, token) not in self.vectors:
+            raise UnknownToken(f"{token!r} is neither in the vocabulary of {role} nor in its extension")
+        return self.vectors[role, token]
+
+    def extended(self, token: str, role: str) -> bool:
+        """Whether the token's vector is the extension's."""
+        return token not in self.model.index[self.model.role(role)] and (role, token) in self.vectors
+
+    def check(self, tokens: tuple[str, ...]) -> tuple[bool, ...]:
+        return tuple(k or self.extended(t, r) for k, t, r in zip(self.model.check(tokens), tokens, self.model.roles, strict=True))
+
+    def score(self, tokens: tuple[str, ...]) -> float:
+        return float(contract(self.model.core, [self.latent(t, r)[None, :] for t, r in zip(tokens, self.model.roles, strict=True)])[0])
+
+
+def look_up(model: Tucker, extension: DataFrame, role: str) -> DataFrame:
+    """(token, extended, vec) of all tokens of a role that can be looked up."""
+    base = model.factor_table(extension.sparkSession).filter(F.col("role") == role).select("token", F.lit(False).alias("extended"), "vec")
+    more = extension.filter(F.col("role") == role).join(base, "token", "left_anti")
+    return base.union(more.select("token", F.lit(True).alias("extended"), "vec"))
+
+
+def only(extension: DataFrame, keep: DataFrame) -> DataFrame:
+    """The extension's rows whose (role, token) is in ``keep``."""
+    return extension.join(keep.select("role", "token").distinct(), ["role", "token"], "left_semi")
+
+
 def best(extension: DataFrame, role: str, k: int) -> DataFrame:
     """The role's k most frequent extensions, ties by token; an error if there are fewer."""
     if k <= 0:

@@ -98,6 +98,17 @@ def ravel(shape: tuple[int, ...], columns: list[Column]) -> Column:
     return out
 
 
+def unravel(shape: tuple[int, ...], index: Column) -> list[Column]:
+    """The coordinates of a linear index, last mode fastest."""
+    out, rest = [], index.cast("decimal(38,0)")
+    for size in reversed(shape):
+        n = F.lit(size).cast("decimal(18,0)")
+        at = F.pmod(rest, n)
+        out.append(at.cast("long"))
+        rest = ((rest - at) / n).cast("decimal(38,0)")
+    return out[::-1]
+
+
 def to_dense(cells: DataFrame, shape: tuple[int, ...], most: int = 50_000_000) -> np.ndarray:
     """A dense array of a small tensor; a shape of more than ``most`` cells is refused."""
     if np.prod(np.array(shape, float)) > most:

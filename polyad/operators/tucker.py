@@ -22,6 +22,8 @@ from .vocab import groups
 EPS = 1e-12
 #: Numbers a batch of cells times the core may take; rows of a factor that one task adds up.
 BATCH_NUMBERS, BLOCK_ROWS = 4_000_000, 4096
+#: Nonzeros that the driver may be asked to hold.
+MOST_LOCAL = 5_000_000
 
 
 def contract(core: np.ndarray, rows: list[np.ndarray | None]) -> np.ndarray:
@@ -120,20 +122,26 @@ def error_part(index: np.ndarray, x: np.ndarray, core: np.ndarray, factors: list
 
 
 class Cells:
-    """The nonzeros (i0, ..., value), on the executors or, up to ``local`` of them, on the driver.
+    """The nonzeros (i0, ..., value) on the executors; on the driver only if the caller asks for it.
 
-    Both ways run the same numpy functions; the second saves jobs where a job costs more than its work.
+    on_driver: for tensors that the caller knows to be small (MOST_LOCAL is checked). Both ways run the same
+    numpy functions; this one saves jobs where a job costs more than its work.
     """
 
-    def __init__(self, cells: DataFrame, shape: tuple[int, ...], local: int = 200_000) -> None:
+    def __init__(self, cells: DataFrame, shape: tuple[int, ...], on_driver: bool = False) -> None:
         self.shape, self.n = tuple(shape), len(shape)
         self.frame = cells.select(*coords(self.n), F.col("value").cast("double").alias("value")).persist()
         self.nnz = self.frame.count()
         self.local: tuple[np.ndarray, np.ndarray] | None = None
-        if self.nnz <= local:
+        if on_driver:
+            if self.nnz > MOST_LOCAL:
+                raise ValueError(f"{self.nnz} nonzeros are too many for the driver")
             t = self.frame.toPandas().sort_values(coords(self.n))
             self.local = t[coords(self.n)].to_numpy(np.int64), t["value"].to_numpy(float)
 
+    def release(self) -> None:
+        self.frame.unpersist()
+
     def part(self, share: float, seed: int, iteration: int) -> Cells:
         out = object.__new__(Cells)
         out.shape, out.n, out.local = self.shape, self.n, None
@@ -216,6 +224,29 @@ def relative_error(cells: Cells, core: np.ndarray, factors: list[np.ndarray], di
     return float(np.sqrt(max(xx + squared_norm(core, factors) - 2 * xr, 0.0)) / max(np.sqrt(xx), EPS))
 
 
+def fr_core_and_error(cells: Cells, core: np.ndarray, factors: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """The core after a Frobenius update and the relative error before it, from one pass over the nonzeros."""
+
+    def both(i: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(1, np.int64), np.concatenate((core_part(i, x, core, factors, "fr").ravel(), error_part(i, x, core, factors)))[None, :]
+
+    _, sums = cells.sums(both, core.size + 5)
+    if not len(sums):
+        return np.full(core.shape, EPS), 0.0
+    numerator, (_, xx, xr, _, _) = sums[0, : core.size].reshape(core.shape), sums[0, core.size :].tolist()
+    below = np.maximum(core_with(core, dict(enumerate(grams(factors)))), EPS)
+    error = float(np.sqrt(max(xx + squared_norm(core, factors) - 2 * xr, 0.0)) / max(np.sqrt(xx), EPS))
+    return np.maximum(core * numerator / below, EPS), error
+
+
+def reconstructed(core: np.ndarray, factors: list[np.ndarray], skip: int | None = None, most: int = 50_000_000) -> np.ndarray:
+    """All cells of a small decomposition (without the skipped factor); more than ``most`` are refused."""
+    shape = [r if m == skip else len(f) for m, (f, r) in enumerate(zip(factors, core.shape))]
+    if np.prod(np.array(shape, float)) > most:
+        raise ValueError(f"{tuple(shape)} has more than {most} cells")
+    return core_with(core, {m: f for m, f in enumerate(factors) if m != skip})
+
+
 def initial(shape: tuple[int, ...], rank: tuple[int, ...], seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Uniform numbers: the core first, then the factors."""
     r = np.random.RandomState(seed)
@@ -282,7 +313,7 @@ def partners(n: int, shared: tuple[tuple[int, int], ...], transitive: bool) -> d
     return out
 
 
-def train(cells: Cells, t: Training, start: Result | None = None, evaluate: Callable[[np.ndarray, list[np.ndarray]], dict] | None = None, checkpoint: Callable[[int, Result], None] | None = None) -> Result:
+def train(cells: Cells, t: Training, start: Result | None = None, evaluate: Callable[[np.ndarray, list[np.ndarray]], dict] | None = None, checkpoint: Callable[[int, Result], None] | None = None, new_best: Callable[[Result], None] | None = None) -> Result:
     """Sweeps factors in order (each sees the ones before it updated), then the core, until a rule stops it.
 
     Reconstruction: ``patience`` checks after the warm-up with a change below ``tol``. Semantics: as many
@@ -329,6 +360,8 @@ def train(cells: Cells, t: Training, start: Result | None = None, evaluate: Call
             gain = found[t.semantic_key] - best_value
             if gain > 0:
                 best_value, best = found[t.semantic_key], (core, list(factors), i + 1)
+                if new_best:
+                    new_best(out)
             semantic_idle = semantic_idle + 1 if gain < t.tol else 0
             if semantic_idle >= t.patience:
                 out.stopped = "semantics"

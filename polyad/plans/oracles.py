@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 SENT = r"""sent AS (SELECT doc_id, unnest(range(len(p))) AS sent_pos, unnest(p) AS sentence
-  FROM (SELECT doc_id, string_split_regex(text, '[.!?\n]+') AS p FROM documents WHERE length(text) BETWEEN 1 AND 50000)),
+  FROM (SELECT doc_id, string_split_regex(text, '[.!?\n]+') AS p FROM documents WHERE length(text) >= 1)),
 tok AS (SELECT doc_id, sent_pos, regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+') AS t FROM sent WHERE trim(sentence) <> '')"""
 
 
@@ -209,3 +209,7 @@ NEAREST = """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DO
 c AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS f FROM embeddings)
 SELECT vec_id, id AS neighbour, round(list_dot_product(e, f) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(f, f)), 6) AS cosine
 FROM q JOIN c ON vec_id <> id QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, id) <= 5"""
+
+LINKED_EXTENSIONS = """WITH a AS (SELECT p_brand AS token, count(*) AS c, sum(p_size) AS s FROM part GROUP BY 1),
+m AS (SELECT token, CASE WHEN s % 2 = 0 THEN 3 * c ELSE c END AS cnt, CASE WHEN s % 2 = 0 THEN (s * c + s / 2 * 2 * c) / (3.0 * c) ELSE s END AS v0, CASE WHEN s % 2 = 0 THEN (c * c + c / 2 * 2 * c) / (3.0 * c) ELSE c END AS v1 FROM a)
+SELECT role, token, cnt::BIGINT AS cnt, round(v0::DOUBLE, 6) AS x0, round(v1::DOUBLE, 6) AS x1 FROM m, (VALUES ('a'), ('b')) r(role)"""

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import scores as S
 from ..functions.text import LABELS, Labels, core_words, multi_ngrams, slots
 from ..operators import assoc, evaluate, extend, frames, model, tensor, tucker, vocab
+from ..operators.nearest import nearest
 from ..sources import corpus
-from ..sources.store import is_folder
+from ..sources.store import is_folder, scratch_path
 from ..streaming.ingest import ngram_rows as stream_ngrams
-from ..streaming.ingest import running_counts
+from ..streaming.ingest import running_counts, write_counts
 from ..ship import ship
 from . import fixtures as X
 from . import oracles as O
@@ -100,16 +100,15 @@ def legacy_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming plan (sentences, tokens, n-grams, running counts) run to the end of the available data."""
+    """The streaming plan (sentences, tokens, n-grams, running counts) run to the end of the available data.
+
+    The counts of every micro-batch are written to a table of its own; the last is the result.
+    """
     source = f"{sf_dir}/documents.parquet"
     reader = spark.readStream.schema(spark.read.parquet(source).schema)
     # a stream watches folders; a single file is found in its own
     texts = reader.parquet(source) if is_folder(spark, source) else reader.option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    name = f"polyad_counts_{abs(hash(sf_dir))}"
-    counts = running_counts(stream_ngrams(texts, 3), ["w1", "w2"])
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).filter(F.col("cnt") >= 20)
+    return spark.read.parquet(write_counts(running_counts(stream_ngrams(texts, 3), ["w1", "w2"]), scratch_path(spark, "stream-counts")))
 
 
 # --- vocabularies and association ------------------------------------------------------------------------
@@ -242,8 +241,7 @@ def tensor_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kernel(spark: SparkSession, sf_dir: str) -> tuple[tucker.Cells, model.Tucker]:
     m, _ = X.order_model(spark, sf_dir)
-    # on the executors, so that what is checked is the distributed form
-    return tucker.Cells(X.order_cells(spark, sf_dir), tuple(map(len, m.vocab)), local=0), m
+    return tucker.Cells(X.order_cells(spark, sf_dir), tuple(map(len, m.vocab))), m
 
 
 def _factor(spark: SparkSession, sf_dir: str, divergence: str) -> DataFrame:
@@ -284,7 +282,8 @@ def train_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short KL run over the softplus weights of trigrams: the error after each sweep."""
     p = assoc.populate(X.ngram_rows(spark, sf_dir, 3), W3, (K,))
     sizes = {r["role"]: r["n"] for r in p.vocab.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = tucker.Cells(p.tensor("siiSoftPlus"), tuple(sizes[r] for r in W3))
+    # at most K ** 3 cells
+    cells = tucker.Cells(p.tensor("siiSoftPlus"), tuple(sizes[r] for r in W3), on_driver=True)
     out = tucker.train(cells, tucker.Training(rank=(5, 5, 5), iterations=5))
     return spark.createDataFrame(out.errors, "iteration int, error double")
 
@@ -400,14 +399,81 @@ def extended_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.factor_table(spark).filter("role = 'brand'").select("idx", "token", F.round(F.col("vec")[0], 6).alias("x0"), F.round(F.col("vec")[1], 6).alias("x1"))
 
 
+def extended_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All brands that can be looked up: the ten of the vocabulary, then the extensions."""
+    m, rows = X.order_model(spark, sf_dir, k=10)
+    found = extend.look_up(m, extend.extend(m, rows, "brand"), "brand")
+    return found.select("token", "extended", F.round(F.col("vec")[0], 6).alias("x0"), F.round(F.col("vec")[1], 6).alias("x1"))
+
+
+def sampled_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 distinct tuples of a stored table, from as few of its blocks as it takes."""
+    return evaluate.sampled_scan(spark, f"{sf_dir}/orders.parquet", ["o_orderstatus", "o_orderpriority", "o_custkey"], 300)
+
+
+def unrestricted_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assoc.unrestricted_joints(vocab.normalised(X.order_rows(spark, sf_dir), X.ORDER_ROLES), X.ORDER_ROLES)
+
+
+def fr_core_with_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The updated core, each cell with the error before the update."""
+    cells, m = _kernel(spark, sf_dir)
+    core, error = tucker.fr_core_and_error(cells, m.core, m.factors)
+    return rounded(model.Tucker(core, m.factors, m.vocab, m.roles).core_table(spark), "value").withColumn("error", F.lit(round(error, 6)))
+
+
+def tensor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unfolded along each mode and folded back: three times every cell, added."""
+    cells = X.order_cells(spark, sf_dir)
+    both = None
+    for mode in range(3):
+        one = tensor.fold(tensor.unfold(cells, 3, mode), 3, mode)
+        both = one if both is None else both.union(one)
+    return tensor.coalesce_cells(both, 3).select("i0", "i1", "i2", F.col("value").cast("long").alias("value"))
+
+
+def linear_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by one linear index, and the coordinates it gives back."""
+    m, _ = X.order_model(spark, sf_dir)
+    shape = tuple(map(len, m.vocab))
+    at = X.order_cells(spark, sf_dir).withColumn("at", tensor.ravel(shape, [F.col(f"i{j}") for j in range(3)]))
+    return at.select(F.col("at").cast("long").alias("at"), *[c.alias(f"j{j}") for j, c in enumerate(tensor.unravel(shape, F.col("at")))])
+
+
+def dense_times_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first factor, transposed, times the tensor unfolded along its mode."""
+    m, _ = X.order_model(spark, sf_dir)
+    left = tensor.matrix_table(spark, m.factors[0].T)
+    out = tensor.dense_times_sparse(left, tensor.unfold(X.order_cells(spark, sf_dir), 3, 0))
+    return rounded(out.select("i", F.col("column")[0].alias("i1"), F.col("column")[1].alias("i2"), "value"), "value")
+
+
+def linked_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two roles that share their tokens: brands as extensions of one, every second also of the other."""
+    part = X.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("token")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("p_size").alias("s"))
+    vec = F.array(F.col("s").cast("double"), F.col("cnt").cast("double"))
+    a = part.select(F.lit("a").alias("role"), "token", "cnt", vec.alias("vec"))
+    b = part.filter("s % 2 = 0").select(F.lit("b").alias("role"), "token", (F.col("cnt") * 2).alias("cnt"), F.transform(vec, lambda x: x / 2).alias("vec"))
+    out = extend.merge_linked(a.union(b), "a", "b")
+    return out.select("role", "token", "cnt", F.round(F.col("vec")[0], 6).alias("x0"), F.round(F.col("vec")[1], 6).alias("x1"))
+
+
+def best_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, rows = X.order_model(spark, sf_dir, k=10)
+    return extend.best(extend.extend(m, rows, "brand"), "brand", 5).select("role", "token", "cnt")
+
+
+def checked_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows are known with and without the extension."""
+    m, rows = X.order_model(spark, sf_dir, k=10)
+    extension = extend.extend(m, rows, "brand", top_k=8)
+    return extend.check_tuples(m, rows, extension).groupBy("known").agg(F.count(F.lit(1)).alias("n"))
+
+
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows by cosine for every hundredth vector."""
     e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    asked = e.filter("vec_id % 100 = 0")
-    pairs = asked.join(e.select(F.col("vec_id").alias("neighbour"), F.col("e").alias("f")), F.col("vec_id") != F.col("neighbour"))
-    near = pairs.select("vec_id", "neighbour", S.cosine(F.col("e"), F.col("f")).alias("cosine"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
-    return rounded(near.withColumn("k", F.row_number().over(order)).filter("k <= 5").drop("k"), "cosine")
+    return rounded(nearest(e.filter("vec_id % 100 = 0"), e, 5), "cosine").withColumnRenamed("id", "vec_id")
 
 
 QUERIES: list[Query] = [
@@ -416,7 +482,8 @@ QUERIES: list[Query] = [
     unknown_replaced, known_tuples, distinct_tuples, tuple_sample, frame_blueprints, frame_orders, frame_arguments,
     tensor_unfolding, tensor_mode_product, tensor_summary, tensor_subsample, kl_factor_update, fr_factor_update, kl_core_update, fr_core_update, relative_errors, train_trigrams,
     tuple_scores, predicted_vectors, context_vectors, expected_elements, similar_elements, top_combinations, top_words, role_slices, tuple_slices, contribution_cells, top_activations, top_dimensions,
-    slot_prediction, extension_vectors, extension_minmax, extension_contexts, extended_model, nearest_vectors,
+    slot_prediction, extension_vectors, extension_minmax, extension_contexts, extended_model, extended_lookup, linked_extensions, best_extensions, checked_tuples, nearest_vectors,
+    sampled_scan, unrestricted_joints, fr_core_with_error, tensor_fold, linear_index, dense_times_sparse,
 ]
 
 
@@ -454,7 +521,7 @@ def oracle_sql() -> dict[str, str]:
         "grammar_slots": O.SLOTS,
         "grammar_slots_without_indirect": f"SELECT obj, obj2, count(*)::BIGINT AS n FROM ({obj2}) GROUP BY 1, 2",
         "legacy_tuples": "SELECT p_partkey, p_brand AS brand, 'it''s ' || p_type AS type, p_size::VARCHAR AS size, p_type AS naive_type FROM part",
-        "stream_trigram_counts": f"WITH {tri} SELECT role, token, cnt::BIGINT AS cnt FROM (SELECT 'w1' AS role, w1 AS token, count(*) AS cnt FROM rows GROUP BY 2 UNION ALL SELECT 'w2', w2, count(*) FROM rows GROUP BY 2) WHERE cnt >= 20",
+        "stream_trigram_counts": f"WITH {tri} SELECT role, token, cnt::BIGINT AS cnt FROM (SELECT 'w1' AS role, w1 AS token, count(*) AS cnt FROM rows GROUP BY 2 UNION ALL SELECT 'w2', w2, count(*) FROM rows GROUP BY 2)",
         "vocabulary_top_k": O.vocab_sql(tri, W3, K),
         "vocabulary_linked": O.linked_sql(tri, W3, K),
         "vocabulary_by_language": f"WITH {text} SELECT lang, token, cnt::BIGINT AS cnt, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, token)::INT AS rank FROM (SELECT lang, token, count(*) AS cnt FROM (SELECT doc_id, unnest(t) AS token FROM tok) JOIN documents USING (doc_id) GROUP BY 1, 2) QUALIFY rank <= 50",
@@ -496,5 +563,14 @@ def oracle_sql() -> dict[str, str]:
         "extension_vectors": O.EXTENDED,
         "extension_contexts": O.with_model("SELECT brand, count(*)::BIGINT AS n FROM rows WHERE brand NOT IN (SELECT token FROM voc WHERE role = 'brand') GROUP BY brand", k=10),
         "extended_model": extended,
+        "extended_lookup": f"SELECT token, idx >= 10 AS extended, x0, x1 FROM ({extended})",
+        "linked_extensions": O.LINKED_EXTENSIONS,
+        "best_extensions": f"SELECT role, token, cnt FROM ({O.EXTENDED}) ORDER BY cnt DESC, token LIMIT 5",
+        "checked_tuples": O.with_model(f"SELECT returnflag IN (SELECT token FROM voc WHERE role = 'returnflag') AND priority IN (SELECT token FROM voc WHERE role = 'priority') AND (brand IN (SELECT token FROM voc WHERE role = 'brand') OR brand IN (SELECT brand FROM rows WHERE brand NOT IN (SELECT token FROM voc WHERE role = 'brand') AND returnflag IN (SELECT token FROM voc WHERE role = 'returnflag') AND priority IN (SELECT token FROM voc WHERE role = 'priority') GROUP BY brand ORDER BY count(*) DESC, brand LIMIT 8)) AS known, count(*)::BIGINT AS n FROM rows GROUP BY 1", k=10),
+        "unrestricted_joints": f"WITH {O.ORDERS} SELECT returnflag, priority, brand, grouping(returnflag, priority, brand)::INT AS subset, count(*)::BIGINT AS cnt FROM rows GROUP BY GROUPING SETS ((returnflag), (priority), (brand), (returnflag, priority), (returnflag, brand), (priority, brand), (returnflag, priority, brand))",
+        "fr_core_with_error": f"SELECT c.*, e.fr_error AS error FROM ({O.FR_CORE}) c, ({O.ERRORS}) e",
+        "tensor_fold": O.with_model("SELECT i0::INT AS i0, i1::INT AS i1, i2::INT AS i2, (3 * x)::BIGINT AS value FROM nz"),
+        "linear_index": O.with_model("SELECT ((i0 * (SELECT count(*) FROM voc WHERE role = 'priority') + i1) * (SELECT count(*) FROM voc WHERE role = 'brand') + i2)::BIGINT AS at, i0::BIGINT AS j0, i1::BIGINT AS j1, i2::BIGINT AS j2 FROM nz"),
+        "dense_times_sparse": O.with_model("SELECT f0.r::INT AS i, i1::INT AS i1, i2::INT AS i2, round(sum(x * f0.v), 6) AS value FROM nz JOIN f0 ON f0.i = i0 GROUP BY f0.r, i1, i2"),
         "nearest_vectors": O.NEAREST,
     }

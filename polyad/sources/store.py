@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from datetime import UTC, datetime
 
 import numpy as np
@@ -36,6 +40,29 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); unset in local sessions: a
+    temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="polyad-scratch-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/polyad/{name}-{uuid.uuid4().hex}"
+
+
+def missing(spark: SparkSession, wanted: dict[str, str]) -> list[str]:
+    """The names whose paths don't exist yet: what is still to compute."""
+    return [name for name, path in wanted.items() if not exists(spark, path)]
+
+
+def append_csv(df: DataFrame, folder: str) -> None:
+    """Further CSV files with a header each; existing ones stay."""
+    df.write.mode("append").option("header", True).csv(folder)
+
+
 def write_rows(df: DataFrame, path: str, rows_per_file: int = 5_000_000, mode: str = "append") -> None:
     """Sharded zstd Parquet. Appending never touches existing shards."""
     df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
@@ -113,6 +140,27 @@ def latest_checkpoint(spark: SparkSession, folder: str, config: dict) -> tuple[R
     return None
 
 
+def write_result(spark: SparkSession, path: str, result: Result, vocab: list[list[str]], roles: list[str]) -> Tucker:
+    """The model with its errors and fitness beside it."""
+    model = Tucker(result.core, result.factors, vocab, roles)
+    write_model(spark, model, path)
+    write_json(spark, f"{path}/state.json", {"iteration": result.iterations, "stopped": result.stopped, "errors": result.errors, "fitness": result.fitness})
+    return model
+
+
+def read_trained(spark: SparkSession, folder: str, iteration: int | None = None) -> Tucker:
+    """A run's model: of the given iteration, else the finished one, else the best, else the furthest checkpoint."""
+    if iteration is not None:
+        return read_model(spark, f"{folder}/checkpoints/iter={iteration:08d}/model")
+    for name in ("model", "best"):
+        if exists(spark, f"{folder}/{name}/about.json"):
+            return read_model(spark, f"{folder}/{name}")
+    found = [c for c in children(spark, f"{folder}/checkpoints") if exists(spark, f"{folder}/checkpoints/{c}/state.json")]
+    if not found:
+        raise FileNotFoundError(f"{folder} holds no model")
+    return read_model(spark, f"{folder}/checkpoints/{found[-1]}/model")
+
+
 def write_extension(extension: DataFrame, path: str, mode: str = "overwrite") -> None:
     extension.orderBy("role", F.desc("cnt"), "token").write.mode(mode).parquet(path)
 

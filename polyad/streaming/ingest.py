@@ -50,3 +50,20 @@ def running_counts(rows: DataFrame, roles: list[str]) -> DataFrame:
     """Marginal counts of a stream (complete output): partial sums per batch, state by (role, token)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("token")) for r in roles])).alias("x")
     return rows.select(pairs).groupBy("x.role", "x.token").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def write_counts(counts: DataFrame, folder: str) -> str:
+    """Runs a complete-output stream over the available data, one table a micro-batch; the last one's folder."""
+    last = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        last.append(f"{folder}/batch={batch_id}")
+
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return last[-1]
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """What each micro-batch of a stream read and how fast: (batch, rows, rows_per_second)."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"]} for p in query.recentProgress]

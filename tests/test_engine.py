@@ -126,12 +126,12 @@ def dense(core, factors):
     return np.einsum("pqr,ip,jq,kr->ijk", core, *factors)
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
+@pytest.mark.parametrize("local", [False, True])
 @pytest.mark.parametrize("divergence", ["kl", "fr"])
 def test_updates_match_dense_algebra(spark, local, divergence):
     core, factors = small()
     x = np.random.default_rng(1).random((7, 6, 5)) * (np.random.default_rng(2).random((7, 6, 5)) < 0.4)
-    cells = tucker.Cells(tensor.from_dense(spark, x).repartition(3), x.shape, local=local)
+    cells = tucker.Cells(tensor.from_dense(spark, x).repartition(3), x.shape, on_driver=local)
     z = np.einsum("pqr,jq,kr->pjk", core, *factors[1:]).reshape(2, -1)
     flat, hat = x.reshape(7, -1), factors[0] @ z
     if divergence == "kl":
@@ -336,3 +336,70 @@ def test_long_texts_are_kept(spark, tmp_path):
     assert [r.doc_id for r in T.usable_texts(df).orderBy("doc_id").collect()] == [0, 1]
     counts = {name: registry.queries()[name](spark, str(tmp_path)).agg({"cnt": "sum"}).first()[0] for name in ("trigram_counts", "stream_trigram_counts")}
     assert counts == {"trigram_counts": 10_001, "stream_trigram_counts": 20_002}
+
+
+def test_stages_of_a_run(spark, tmp_path):
+    from polyad import run
+
+    rng = np.random.default_rng(3)
+    texts = [(i, ". ".join(" ".join(rng.choice(["a", "b", "c", "d", "e"], 6)) for _ in range(5))) for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/texts")
+    folder = run.main(["vectors", "--type", "3-gram,4-gram", "--dataset", f"{tmp_path}/texts", "--output-dir", f"{tmp_path}/out"], spark)
+    assert store.read_json(spark, f"{folder}/meta.json")["rows"] == {"3": 30 * 5 * 4, "4": 30 * 5 * 3}
+    data = ["--data-dir", f"{tmp_path}/data"]
+    p = run.main(["population", "--dataset", f"{folder}/3-gram", "--roles", "w1,w2,w3", "--top-ks", "3,5", *data], spark)
+    assert p.top_ks == (3, 5) and p.total == 600
+    flags = ["decomposition", "--dim", "5", "--rank", "2", "--check-every", "1", "--checkpoint-every", "2", "--semantic-every", "2", "--evaluation-path", f"{folder}/3-gram", "--evaluation-rows", "50", *data]
+    first = run.main([*flags, "--iterations", "4"], spark)
+    again = run.main([*flags, "--iterations", "4"], spark)  # it is there already
+    assert np.allclose(first.core, again.core)
+    run.main([*flags, "--iterations", "6", "--resume", "true", "--overwrite", "true"], spark)
+    whole = run.main([*flags, "--iterations", "6", "--overwrite", "true"], spark)
+    c = config.parsed(config.Decomposition, [*flags[1:], "--iterations", "6"])
+    state = store.read_json(spark, f"{c.paths()['model']}/state.json")
+    assert [i for i, _ in state["errors"]] == list(range(6)) and state["fitness"]
+    assert store.read_trained(spark, c.paths()["model"].rpartition("/")[0]).roles == ["w1", "w2", "w3"]
+    assert store.read_trained(spark, c.paths()["model"].rpartition("/")[0], 4).core.shape == whole.core.shape
+    assert store.missing(spark, {"a": c.paths()["best"], "b": f"{tmp_path}/none"}) == ["b"]
+
+
+def test_sampled_scan(spark, tmp_path):
+    rows_ = [(f"a{i % 7}", f"b{i}", None if i % 50 == 0 else "c") for i in range(4000)]
+    rows(spark, rows_).repartition(8).write.parquet(f"{tmp_path}/t")
+    got = [evaluate.sampled_scan(spark, f"{tmp_path}/t", ROLES, 100, cache=f"{tmp_path}/cache").collect() for _ in range(2)]
+    assert got[0] == got[1] and len(set(got[0])) == 100 and {tuple(r) for r in got[0]} <= set(rows_)
+    assert len(evaluate.sampled_scan(spark, f"{tmp_path}/t", ROLES, 3900).collect()) == 3900
+    with pytest.raises(ValueError, match="fewer"):
+        evaluate.sampled_scan(spark, f"{tmp_path}/t", ROLES, 4000)
+
+
+def test_extended_look_ups(spark):
+    m = Tucker(np.ones((1, 1)), [np.array([[1.0]]), np.array([[2.0]])], [["a"], ["b"]], ["x", "y"])
+    e = extend.Extended.of(m, spark.createDataFrame([("x", "a", 3, [9.0]), ("x", "new", 2, [4.0])], extend.EXTENSION))
+    assert e.latent("a", "x") == [1.0] and e.latent("new", "x") == [4.0] and e.model.factors is m.factors
+    assert (e.extended("a", "x"), e.extended("new", "x"), e.check(("new", "b")), e.score(("new", "b"))) == (False, True, (True, True), 8.0)
+    with pytest.raises(UnknownToken):
+        e.latent("new", "y")
+    kept = extend.only(spark.createDataFrame([("x", "n", 1, [1.0]), ("y", "n", 1, [1.0])], extend.EXTENSION), spark.createDataFrame([("x", "n")], "role string, token string"))
+    assert [r.role for r in kept.collect()] == ["x"]
+
+
+def test_reconstruction():
+    core, factors = np.arange(1.0, 5).reshape(2, 2), [np.eye(2) * 2, np.array([[1.0, 1.0]])]
+    assert np.allclose(tucker.reconstructed(core, factors), [[6.0], [14.0]])
+    assert tucker.reconstructed(core, factors, skip=1).shape == (2, 2)
+    with pytest.raises(ValueError, match="more than"):
+        tucker.reconstructed(core, factors, most=1)
+
+
+def test_samples_follow_their_law(spark):
+    """Whether a seeded sample is what sorting by the hash in numpy's order gives."""
+    df = rows(spark, [(f"a{i}", f"b{i % 9}", "c") for i in range(500)])
+    import pyspark.sql.functions as F
+
+    hashed = sorted((r.h, *r[:3]) for r in df.select(*ROLES, F.xxhash64(*ROLES, F.lit(42)).alias("h")).collect())
+    assert [tuple(r) for r in evaluate.sample(df, ROLES, 40).collect()] == [h[1:] for h in hashed[:40]]
+    cells = spark.createDataFrame([(i, i % 3, float(i)) for i in range(200)], "i0 int, i1 int, value double")
+    order = sorted((r.h, r.i0) for r in cells.select("i0", F.xxhash64("i0", "i1", F.lit(7), F.lit(0)).alias("h")).collect())
+    got = {r.i0: r.value for r in tensor.subsample(cells, 2, 0.3, 7, exact=True).collect()}
+    assert got == {i: pytest.approx(i / 0.3) for _, i in order[:60]}
