@@ -57,6 +57,24 @@ def multi_ngrams(df: DataFrame, orders: list[int], tokens: str = "tokens") -> di
     return {n: ngrams(df, n, tokens=tokens) for n in dict.fromkeys(orders)}
 
 
+def stretches(df: DataFrame, n: int, more: int = 0, tokens: str = "tokens") -> DataFrame:
+    """(part, words, many): sentences cut where the longest word of the n-gram changes, each stretch with many n-grams.
+
+    Equal n-grams have equal parts, so a shuffle by part brings them together; inside a stretch a word travels
+    once for all n-grams that it is in. words: the stretch with ``more`` words that follow it, if there are any.
+    """
+    weight = F.transform(tokens, lambda x: F.shiftleft(F.octet_length(x).cast("long"), 32) + F.hash(x))
+    last = F.size(tokens) - (n - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    longest = F.transform(starts, lambda i: F.greatest(*[F.element_at("_w", i + j) for j in range(n)]) if n > 1 else F.element_at("_w", i))
+    cuts = F.filter(starts, lambda i: (i == 1) | (F.element_at("_p", i) != F.get("_p", i - 2)))
+    cut = df.select(tokens, weight.alias("_w")).select(tokens, longest.alias("_p")).select(tokens, "_p", cuts.alias("_c"))
+    # Spark would ask first whether a plain column to explode is empty, and make the tokens again for that
+    spans = F.transform("_c", lambda i, k: F.struct(F.element_at("_p", i).alias("part"), i.alias("at"), (F.coalesce(F.get("_c", k + 1), last + 1) - i).alias("many")))
+    cut = cut.select(tokens, F.explode(spans).alias("_s"))
+    return cut.select("_s.part", F.array_join(F.slice(tokens, F.col("_s.at"), F.col("_s.many") + (n - 1 + more)), " ").alias("words"), "_s.many")
+
+
 def core_words(text: Column, stop_words: list[str]) -> Column:
     """Tokens without stop words, or all tokens if nothing is left; missing marks pass through."""
     words = tokens_of(text)

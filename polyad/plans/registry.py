@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LABELS, Labels, core_words, multi_ngrams, slots
-from ..operators import assoc, evaluate, extend, frames, model, tensor, tucker, vocab
+from ..functions.text import LABELS, Labels, core_words, slots
+from ..operators import assoc, evaluate, extend, frames, grams, model, tensor, tucker, vocab
 from ..operators.nearest import nearest
 from ..sources import corpus
 from ..sources.store import is_folder, scratch_path
@@ -61,14 +61,8 @@ def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several orders over one token table: rows and distinct rows of each."""
-    tables = multi_ngrams(X.token_rows(spark, sf_dir), [3, 4, 5])
-    out = None
-    for n, df in tables.items():
-        words = X.ngram_roles(n)
-        one = df.groupBy(*words).agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("n_rows"), F.count(F.lit(1)).alias("n_distinct"))
-        one = one.select(F.lit(n).alias("n"), "n_rows", "n_distinct")
-        out = one if out is None else out.union(one)
-    return out
+    stored = int(str(X.table(spark, sf_dir, "documents")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return grams.order_counts(X.token_rows(spark, sf_dir), [3, 4, 5], stored)
 
 
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
