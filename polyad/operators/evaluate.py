@@ -16,10 +16,23 @@ from .model import BATCH_NUMBERS, EPS, Tucker
 KEYS = ("average_rank_score", "average_prob_score", "absolute_rank_score", "absolute_prob_score", "OOV", "OOV_rate", "tilde_excluded_prob_score", "tilde_rate")
 
 
+#: Rows whose hashes the driver looks at to find how far in the order of hashes a sample reaches at most.
+PILOT = 200_000
+
+
 def sample(tuples: DataFrame, roles: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n distinct complete tuples in the order of a seeded hash: the same ones on every run."""
-    rows = tuples.select(*roles).dropna().dropDuplicates()
-    return rows.orderBy(F.xxhash64(*roles, F.lit(seed)), *roles).limit(n)
+    """n distinct complete tuples in the order of a seeded hash: the same ones on every run.
+
+    The hash of the n-th tuple among any of the rows is a bound for that among all rows, so only rows below it
+    are made distinct; which rows the bound comes from doesn't matter to the result.
+    """
+    at = F.xxhash64(*roles, F.lit(seed))
+    rows = tuples.select(*roles).dropna()
+    # a plain limit is taken from the first partitions only
+    first = sorted({h for (h,) in rows.select(at).limit(PILOT).collect()}) if n else []
+    if 0 < n <= len(first):
+        rows = rows.filter(at <= first[n - 1])
+    return rows.dropDuplicates().orderBy(at, *roles).limit(n)
 
 
 def sampled_scan(spark: SparkSession, path: str, roles: list[str], n: int, seed: int = 42, oversample: int = 3, cache: str | None = None) -> DataFrame:
