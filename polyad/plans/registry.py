@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LABELS, Labels, core_words, slots
+from ..functions.text import LABELS, Labels, core_words, slots, tokens, usable_texts
+from ..functions.text import sentences as sentences_of
 from ..operators import assoc, evaluate, extend, frames, grams, model, tensor, tucker, vocab
 from ..operators.nearest import nearest
 from ..sources import corpus
@@ -120,10 +121,18 @@ def vocabulary_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent tokens of each language, one scan for all."""
-    lang = X.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    words = X.token_rows(spark, sf_dir).select("doc_id", F.explode("tokens").alias("token"))
-    # counted by document first, so that the join carries counts
-    counted = words.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("c")).join(lang, "doc_id").groupBy("lang", "token").agg(F.sum("c").alias("cnt"))
+    docs = X.table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    # texts go with their own language; only an id on more than one row has the languages of all of them
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    some = repeated.count()
+    near = F.broadcast(repeated) if some <= vocab.MOST_BROADCAST else repeated
+    rows = docs.join(near, "doc_id", "left_anti") if some else docs
+    words = lambda x, *keep: tokens(sentences_of(usable_texts(x), *keep)).select(*keep, F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
+    counted = words(rows, "lang").groupBy("lang", "token").agg(F.count(F.lit(1)).alias("cnt"))
+    if some:
+        twice = docs.join(near, "doc_id", "left_semi")
+        more = words(twice, "doc_id").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("c")).join(twice.select("doc_id", "lang"), "doc_id").groupBy("lang", "token").agg(F.sum("c").alias("cnt"))
+        counted = counted.union(more).groupBy("lang", "token").agg(F.sum("cnt").alias("cnt"))
     order = Window.partitionBy("lang").orderBy(F.desc("cnt"), F.asc("token"))
     return counted.withColumn("rank", F.row_number().over(order)).filter("rank <= 50")
 
