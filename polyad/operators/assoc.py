@@ -67,7 +67,7 @@ class Populated:
         return self.cells.filter(F.col("top_k") == k).select(*[f"i{j}" for j in range(len(self.roles))], F.col(method).alias("value"))
 
 
-def populate(df: DataFrame, roles: list[str], top_ks: tuple[int, ...], shared: list[tuple[int, int]] | None = None, keep: bool = True) -> Populated:
+def populate(df: DataFrame, roles: list[str], top_ks: tuple[int, ...], shared: list[tuple[int, int]] | None = None, keep: bool = True, counts: DataFrame | None = None) -> Populated:
     """Counts and association weights of all tuples over the most frequent tokens of each role.
 
     p is relative to all rows, those with unknown tokens included. sii sums ln p over all subsets of the tuple,
@@ -75,6 +75,7 @@ def populate(df: DataFrame, roles: list[str], top_ks: tuple[int, ...], shared: l
     Softplus and shift are taken over the cells of a top_k. Smaller vocabularies are prefixes of the largest,
     so one pass counts for all. The rows are read twice, for the vocabulary and for the joint counts; only
     these counts, of at most one more than the vocabulary in each role, are persisted (keep), until release().
+    counts: the marginals of the rows, where the caller has a shorter way to them.
     """
     n, k = len(roles), max(top_ks)
     keys = [f"i{j}" for j in range(n)]
@@ -85,7 +86,7 @@ def populate(df: DataFrame, roles: list[str], top_ks: tuple[int, ...], shared: l
             held.append(x.persist())
         return x
 
-    vocab = kept(vocabulary(marginals(rows, roles), roles, k, shared))
+    vocab = kept(vocabulary(marginals(rows, roles) if counts is None else counts, roles, k, shared))
     joint = kept(joint_counts(rows, vocab, roles, k))
     total = joint.agg(F.sum("cnt")).first()[0] or 0
     log_p = lambda c: F.ln(F.col(c).cast("double") / F.lit(float(max(total, 1))))

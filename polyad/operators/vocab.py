@@ -25,6 +25,16 @@ def marginals(rows: DataFrame, roles: list[str]) -> DataFrame:
     return rows.select(pairs).groupBy("x.role", "x.token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def ngram_marginals(df: DataFrame, roles: list[str], tokens: str = "tokens") -> DataFrame:
+    """The marginals of the n-grams of token rows, n as many as roles: one row a token is counted, not n for each n-gram."""
+    n, size, at = len(roles), F.col("_size"), F.col("_at")
+    # outer: for a plain column Spark would first ask whether it is empty, and make the tokens again for that
+    words = df.select(F.size(tokens).alias("_size"), F.posexplode_outer(tokens).alias("_at", "token"))
+    inside = [F.count(F.when((at >= j) & (at - j <= size - n), 1)).alias(f"_{j}") for j in range(n)]
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), "token", F.col(f"_{j}").alias("cnt")) for j, r in enumerate(roles)]))
+    return words.groupBy("token").agg(*inside).select(each.alias("x")).select("x.*").filter("cnt > 0")
+
+
 def groups(n: int, shared: list[tuple[int, int]] | None = None) -> list[list[int]]:
     """Connected components of linked modes, each sorted, by smallest member; single modes too."""
     up = list(range(n))

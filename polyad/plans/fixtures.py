@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ngrams, sentences, tokens, usable_texts
 from ..operators.assoc import joint_counts
 from ..operators.model import Tucker, vocabulary_lists
-from ..operators.vocab import marginals, normalised, vocabulary
+from ..operators.vocab import marginals, ngram_marginals, normalised, vocabulary
 
 ORDER_ROLES = ["returnflag", "priority", "brand"]
 MARKET_ROLES = [*ORDER_ROLES, "mktsegment"]
@@ -38,6 +38,10 @@ def ngram_rows(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return ngrams(token_rows(spark, sf_dir), n)
 
 
+def ngram_counts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return ngram_marginals(token_rows(spark, sf_dir), ngram_roles(n))
+
+
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, orders, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     joined = line.select("l_orderkey", "l_partkey", "l_returnflag").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -73,7 +77,7 @@ def order_model(spark: SparkSession, sf_dir: str, k: int = 1000, rank: int = 2)
 
 def order_cells(spark: SparkSession, sf_dir: str, k: int = 1000) -> DataFrame:
     rows = normalised(order_rows(spark, sf_dir), ORDER_ROLES)
-    vocab = vocabulary(marginals(rows, ORDER_ROLES), ORDER_ROLES, k)
+    vocab = vocabulary(marginals(rows, ORDER_ROLES), ORDER_ROLES, k).persist()  # read once for each role
     return joint_counts(rows, vocab, ORDER_ROLES, k).dropna().withColumnRenamed("cnt", "value")
 
 

@@ -33,16 +33,20 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def populated(df: DataFrame, roles: list[str], k: int, top_ks: tuple[int, ...] = (), tokens: bool = True) -> DataFrame:
-    p = assoc.populate(df, roles, top_ks or (k,))
+def populated(df: DataFrame, roles: list[str], k: int, top_ks: tuple[int, ...] = (), tokens: bool = True, counts: DataFrame | None = None) -> DataFrame:
+    p = assoc.populate(df, roles, top_ks or (k,), counts=counts)
     cells = assoc.with_tokens(p.cells, p.vocab, roles, k) if tokens else p.cells
     words = roles if tokens else []
     return rounded(cells, *TENSOR_COLUMNS).select("top_k", *[f"i{j}" for j in range(len(roles))], *words, "counting", *TENSOR_COLUMNS)
 
 
+def populated_ngrams(spark: SparkSession, sf_dir: str, n: int, k: int, top_ks: tuple[int, ...] = (), tokens: bool = True) -> DataFrame:
+    return populated(X.ngram_rows(spark, sf_dir, n), X.ngram_roles(n), k, top_ks, tokens, X.ngram_counts(spark, sf_dir, n))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word triples of documents with the strongest association."""
-    return populated(X.ngram_rows(spark, sf_dir, 3), W3, K).orderBy(F.desc("sc"), *W3)
+    return populated_ngrams(spark, sf_dir, 3, K).orderBy(F.desc("sc"), *W3)
 
 
 # --- text ------------------------------------------------------------------------------------------------
@@ -110,13 +114,11 @@ def stream_trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vocab.normalised(X.ngram_rows(spark, sf_dir, 3), W3)
-    return vocab.vocabulary(vocab.marginals(rows, W3), W3, K)
+    return vocab.vocabulary(X.ngram_counts(spark, sf_dir, 3), W3, K)
 
 
 def vocabulary_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = vocab.normalised(X.ngram_rows(spark, sf_dir, 3), W3)
-    return vocab.vocabulary(vocab.marginals(rows, W3), W3, K, shared=[(0, 1), (1, 2)])
+    return vocab.vocabulary(X.ngram_counts(spark, sf_dir, 3), W3, K, shared=[(0, 1), (1, 2)])
 
 
 def vocabulary_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +141,21 @@ def vocabulary_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subset_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vocab.normalised(X.ngram_rows(spark, sf_dir, 3), W3)
-    words = vocab.vocabulary(vocab.marginals(rows, W3), W3, K)
+    words = vocab.vocabulary(X.ngram_counts(spark, sf_dir, 3), W3, K).persist()  # read once for each role
     found = assoc.lattice(assoc.joint_counts(rows, words, W3, K), 3)
     return found.select("subset", "i0", "i1", "i2", "cnt")
 
 
 def populate_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return populated(X.ngram_rows(spark, sf_dir, 3), W3, K)
+    return populated_ngrams(spark, sf_dir, 3, K)
 
 
 def populate_fourgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return populated(X.ngram_rows(spark, sf_dir, 4), X.ngram_roles(4), 40)
+    return populated_ngrams(spark, sf_dir, 4, 40)
 
 
 def populate_fivegrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return populated(X.ngram_rows(spark, sf_dir, 5), X.ngram_roles(5), 20)
+    return populated_ngrams(spark, sf_dir, 5, 20)
 
 
 def populate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,18 +172,18 @@ def populate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def populate_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three vocabulary sizes from one pass; shifts are each size's own."""
-    return populated(X.ngram_rows(spark, sf_dir, 3), W3, K, (10, 50, K), tokens=False)
+    return populated_ngrams(spark, sf_dir, 3, K, (10, 50, K), tokens=False)
 
 
 def unknown_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vocab.normalised(X.order_rows(spark, sf_dir), X.ORDER_ROLES)
-    words = vocab.vocabulary(vocab.marginals(rows, X.ORDER_ROLES), X.ORDER_ROLES, 4)
+    words = vocab.vocabulary(vocab.marginals(rows, X.ORDER_ROLES), X.ORDER_ROLES, 4).persist()
     return vocab.replace_unknown(rows, words, X.ORDER_ROLES, 4).groupBy(*X.ORDER_ROLES).agg(F.count(F.lit(1)).alias("n"))
 
 
 def known_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vocab.normalised(X.order_rows(spark, sf_dir), X.ORDER_ROLES)
-    words = vocab.vocabulary(vocab.marginals(rows, X.ORDER_ROLES), X.ORDER_ROLES, 4)
+    words = vocab.vocabulary(vocab.marginals(rows, X.ORDER_ROLES), X.ORDER_ROLES, 4).persist()
     flags = [f"known_{r}" for r in X.ORDER_ROLES]
     return vocab.in_vocabulary(rows, words, X.ORDER_ROLES, 4).groupBy(*flags, "known").agg(F.count(F.lit(1)).alias("n"))
 
@@ -283,7 +285,7 @@ def relative_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def train_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A short KL run over the softplus weights of trigrams: the error after each sweep."""
-    p = assoc.populate(X.ngram_rows(spark, sf_dir, 3), W3, (K,))
+    p = assoc.populate(X.ngram_rows(spark, sf_dir, 3), W3, (K,), counts=X.ngram_counts(spark, sf_dir, 3))
     sizes = {r["role"]: r["n"] for r in p.vocab.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
     # at most K ** 3 cells
     cells = tucker.Cells(p.tensor("siiSoftPlus"), tuple(sizes[r] for r in W3), on_driver=True)
