@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,26 +102,42 @@ LABELS = {"en": Labels(), "fr": Labels(object="obj", indirect=""), "es": Labels(
 SLOTS = ("root", "nsubj", "obj", "obj2", "obl", "adj_nsubj", "adj_obj")
 
 
+WORD = ("i", "lemma", "pos", "dep", "head")
+
+
 def slots(parsed: DataFrame, keys: list[str], labels: Labels = Labels()) -> DataFrame:
+    """The slots of sentences that come as a row for each token (keys..., i, lemma, pos, dep, head)."""
+    at_root = F.col("i") == F.col("head")
+    used = at_root | F.col("dep").isin(labels.subject, labels.object, labels.indirect, labels.oblique, labels.adjective)
+    # a null key joins no tokens: each is a sentence of its own, so that they don't meet in one task
+    alone = F.when(~_known(keys), F.monotonically_increasing_id())
+    words = parsed.filter(used).select(*keys, F.struct(*WORD).alias("_word"), alone.alias("_alone"))
+    return sentence_slots(words.groupBy(*keys, "_alone").agg(F.collect_list("_word").alias("words")), keys, labels)
+
+
+def sentence_slots(sentences: DataFrame, keys: list[str], labels: Labels = Labels()) -> DataFrame:
     """One row a sentence with a verb at its root: root, nsubj, obj, obj2, obl and the adjectives.
 
-    parsed: a row for each token (keys..., i, lemma, pos, dep, head; a root is its own head). The first of
-    the root's children with a label fills its slot; a second object, or an indirect one if it comes
-    earlier, is obj2; an adjective is the first of the slot's own children.
+    sentences: (keys..., words), a sentence's tokens as structs (i, lemma, pos, dep, head; a root is its own
+    head); nothing is shuffled. The first of the root's children with a label fills its slot; a second object,
+    or an indirect one if it comes earlier, is obj2; an adjective is the first of the slot's own children.
+    Where a key is null only the root is known.
     """
-    root = parsed.filter((F.col("i") == F.col("head")) & (F.col("pos") == labels.verb)).select(*keys, F.col("i").alias("root_i"), F.col("lemma").alias("root"))
-    child = parsed.filter(F.col("i") != F.col("head"))
-    own = child.join(root, keys).filter(F.col("head") == F.col("root_i"))
-    first = lambda label: F.min(F.when(F.col("dep") == label, F.struct("i", "lemma")))
-    objects = F.array_sort(F.collect_list(F.when(F.col("dep") == labels.object, F.struct("i", "lemma"))))
-    # one aggregation; the children of one root are few
-    found = own.groupBy(*keys).agg(first(labels.subject).alias("s"), objects.alias("o"), first(labels.indirect).alias("d"), first(labels.oblique).alias("b"))
-    second = F.expr("least(get(o, 1), d)")
-    found = found.select(*keys, "s", F.expr("get(o, 0)").alias("o"), second.alias("o2"), "b")
-    adjectives = child.filter(F.col("dep") == labels.adjective).groupBy(*keys, F.col("head").alias("h")).agg(F.min(F.struct("i", "lemma"))["lemma"].alias("adj"))
-    out = root.join(found, keys, "left")
-    for side in ("s", "o"):
-        near = adjectives.select(*keys, F.col("h").alias(f"h_{side}"), F.col("adj").alias(f"adj_{side}"))
-        out = out.join(near, [*(out[k] == near[k] for k in keys), out[side]["i"] == near[f"h_{side}"]], "left").select(out["*"], near[f"adj_{side}"])
+    placed = lambda words: F.transform(words, lambda x: F.struct(x["i"].alias("i"), x["lemma"].alias("lemma")))
+    labelled = lambda label: placed(F.filter("_own", lambda x: x["dep"] == label))
+    near = lambda side: F.array_min(placed(F.filter("_adjectives", lambda x: x["head"] == F.col(side)["i"])))["lemma"]
+    below = lambda x: (x["i"] != x["head"]) & F.exists("_roots", lambda r: r["i"] == x["head"])
+    roots = placed(F.filter("words", lambda x: (x["i"] == x["head"]) & (x["pos"] == labels.verb)))
+    out = sentences.select(*keys, "words", roots.alias("_roots"))
+    # Spark would ask first whether a plain column to explode is empty, and make the words again for that
+    out = out.select(*keys, "words", "_roots", F.explode(F.transform("_roots", lambda x: x["lemma"])).alias("root"))
+    adjectives = F.filter("words", lambda x: (x["i"] != x["head"]) & (x["dep"] == labels.adjective))
+    out = out.select(*keys, "root", F.when(_known(keys), F.filter("words", below)).alias("_own"), adjectives.alias("_adjectives"))
+    out = out.select(*keys, "root", "_adjectives", F.array_min(labelled(labels.subject)).alias("s"), F.array_sort(labelled(labels.object)).alias("_o"), F.array_min(labelled(labels.indirect)).alias("d"), F.array_min(labelled(labels.oblique)).alias("b"))
+    out = out.select(*keys, "root", "_adjectives", "s", F.get("_o", 0).alias("o"), F.least(F.get("_o", 1), "d").alias("o2"), "b")
     missing = lambda c: F.coalesce(c, F.lit(MISSING))
-    return out.select(*keys, "root", missing(F.col("s.lemma")).alias("nsubj"), missing(F.col("o.lemma")).alias("obj"), missing(F.col("o2.lemma")).alias("obj2"), missing(F.col("b.lemma")).alias("obl"), missing(F.col("adj_s")).alias("adj_nsubj"), missing(F.col("adj_o")).alias("adj_obj"))
+    return out.select(*keys, "root", missing(F.col("s.lemma")).alias("nsubj"), missing(F.col("o.lemma")).alias("obj"), missing(F.col("o2.lemma")).alias("obj2"), missing(F.col("b.lemma")).alias("obl"), missing(near("s")).alias("adj_nsubj"), missing(near("o")).alias("adj_obj"))
+
+
+def _known(keys: list[str]) -> Column:
+    return reduce(and_, [F.col(k).isNotNull() for k in keys])

@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, sentences, tokens, usable_texts
 from ..operators.assoc import joint_counts
 from ..operators.model import Tucker, vocabulary_lists
-from ..operators.vocab import marginals, ngram_marginals, normalised, vocabulary
+from ..operators.vocab import MOST_BROADCAST, marginals, ngram_marginals, normalised, vocabulary
 
 ORDER_ROLES = ["returnflag", "priority", "brand"]
 MARKET_ROLES = [*ORDER_ROLES, "mktsegment"]
@@ -81,13 +81,31 @@ def order_cells(spark: SparkSession, sf_dir: str, k: int = 1000) -> DataFrame:
     return joint_counts(rows, vocab, ORDER_ROLES, k).dropna().withColumnRenamed("cnt", "value")
 
 
-def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stand-in for a parser: the tokens of sentences with labels that follow from place and length."""
-    rows = token_rows(spark, sf_dir).select("doc_id", "sent_pos", F.posexplode("tokens").alias("i", "lemma"))
-    kind = (F.length("lemma") * 3 + F.col("i")) % 6
-    dep = F.element_at(F.array(*map(F.lit, ["nsubj", "dobj", "dative", "obl", "amod", "det"])), kind + 1)
-    verb = F.length("lemma") % 2 == 0
-    return rows.select("doc_id", "sent_pos", "i", "lemma", F.when(verb, "VERB").otherwise("NOUN").alias("pos"), F.when(F.col("i") == 0, "root").otherwise(dep).alias("dep"), F.when((dep == "amod") & (F.col("i") > 0), F.col("i") - 1).otherwise(0).alias("head"))
+def by_repetition(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose doc_id no other row has (or that have none), and the others, if there are any."""
+    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    some = repeated.count()
+    near = F.broadcast(repeated) if some <= MOST_BROADCAST else repeated
+    return (docs.join(near, "doc_id", "left_anti"), docs.join(near, "doc_id", "left_semi")) if some else (docs, None)
+
+
+def parsed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for a parser: the words of sentences with labels that follow from place and length.
+
+    Sentences are made where their text is read; only those of an id on more than one row are gathered.
+    """
+    deps = F.array(*map(F.lit, ["nsubj", "dobj", "dative", "obl", "amod", "det"]))
+
+    def word(w: Column, i: Column) -> Column:
+        kind = (F.length(w) * 3 + i) % 6
+        pos, dep = F.when(F.length(w) % 2 == 0, "VERB").otherwise("NOUN"), F.when(i == 0, "root").otherwise(F.element_at(deps, kind + 1))
+        return F.struct(i.alias("i"), w.alias("lemma"), pos.alias("pos"), dep.alias("dep"), F.when((kind == 4) & (i > 0), i - 1).otherwise(0).alias("head"))
+
+    parsed = lambda docs: tokens(sentences(usable_texts(docs))).select("doc_id", "sent_pos", F.transform("tokens", word).alias("words"))
+    once, again = by_repetition(table(spark, sf_dir, "documents"))
+    if again is None:
+        return parsed(once)
+    return parsed(once).union(parsed(again).groupBy("doc_id", "sent_pos").agg(F.flatten(F.collect_list("words")).alias("words")))
 
 
 def frame_elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import LABELS, Labels, core_words, slots, tokens, usable_texts
+from ..functions.text import LABELS, Labels, core_words, sentence_slots, tokens, usable_texts
 from ..functions.text import sentences as sentences_of
 from ..operators import assoc, evaluate, extend, frames, grams, model, tensor, tucker, vocab
 from ..operators.nearest import nearest
@@ -80,12 +80,12 @@ def core_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grammar_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slots(X.parsed_rows(spark, sf_dir), ["doc_id", "sent_pos"], LABELS["en"])
+    return sentence_slots(X.parsed_sentences(spark, sf_dir), ["doc_id", "sent_pos"], LABELS["en"])
 
 
 def grammar_slots_without_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A treebank without indirect objects: obj2 is the second object only."""
-    found = slots(X.parsed_rows(spark, sf_dir), ["doc_id", "sent_pos"], Labels(indirect=""))
+    found = sentence_slots(X.parsed_sentences(spark, sf_dir), ["doc_id", "sent_pos"], Labels(indirect=""))
     return found.groupBy("obj", "obj2").agg(F.count(F.lit(1)).alias("n"))
 
 
