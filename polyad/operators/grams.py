@@ -1,4 +1,4 @@
-"""Distinct n-grams of several orders from stretches of sentences, counted exactly by word codes."""
+"""Counts of n-grams, and distinct ones of several orders by word codes, from stretches of sentences."""
 
 from __future__ import annotations
 
@@ -7,16 +7,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import stretches
+from ..functions.text import ngrams, stretches
 
 #: n-grams that a task holds before it drops repeated ones; words that it encodes at once.
 MOST_HELD = 2_000_000
 MOST_WORDS = 1_000_000
-#: Bytes of stored text whose n-grams meet in one task.
+#: Bytes of stored text whose n-grams meet in one task; as rows of Spark's own tables they are larger.
 TASK_BYTES = 8_000_000
+ROW_TASK_BYTES = 4_000_000
 
 
 def distinct(rows: np.ndarray, least: int, count: bool) -> dict[int, int] | np.ndarray:
@@ -81,8 +82,24 @@ def order_counts(tokens: DataFrame, orders: list[int], stored_bytes: int) -> Dat
         yield pa.RecordBatch.from_arrays([pa.array(orders, pa.int32()), pa.array([total[n] for n in orders], pa.int64()), pa.array([found[n] for n in orders], pa.int64())], ["n", "n_rows", "n_distinct"])
 
     spark = tokens.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes // TASK_BYTES))
+    tasks = _tasks(spark, stored_bytes, TASK_BYTES)
     moved = stretches(tokens, least, most - least).repartition(tasks, "part").select("words", "many")
     each = moved.mapInArrow(counted, "n int, n_rows long, n_distinct long")
     none = spark.createDataFrame([(n, 0, 0) for n in orders], each.schema)  # where there is no text at all
     return each.union(none).groupBy("n").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_distinct").alias("n_distinct"))
+
+
+def ngram_counts(tokens: DataFrame, n: int, stored_bytes: int) -> DataFrame:
+    """(w1, ..., wn, cnt). stored_bytes: of the texts, for the number of tasks.
+
+    Stretches travel, and n-grams are made and counted where they meet: a part holds all of an n-gram, so
+    grouping by part and words needs no shuffle of n-grams.
+    """
+    moved = stretches(tokens, n).repartition(_tasks(tokens.sparkSession, stored_bytes, ROW_TASK_BYTES), "part")
+    words = [f"w{j + 1}" for j in range(n)]
+    found = ngrams(moved.select("part", F.split("words", " ").alias("tokens")), n, keep=["part"])
+    return found.groupBy("part", *words).agg(F.count(F.lit(1)).alias("cnt")).drop("part")
+
+
+def _tasks(spark: SparkSession, stored_bytes: int, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes // each))

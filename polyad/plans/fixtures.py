@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return int(str(table(spark, sf_dir, name)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def sentence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(usable_texts(table(spark, sf_dir, "documents")))
 

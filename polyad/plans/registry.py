@@ -61,13 +61,12 @@ def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.ngram_rows(spark, sf_dir, 3).groupBy(*W3).agg(F.count(F.lit(1)).alias("cnt"))
+    return grams.ngram_counts(X.token_rows(spark, sf_dir), 3, X.stored_bytes(spark, sf_dir, "documents"))
 
 
 def ngram_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several orders over one token table: rows and distinct rows of each."""
-    stored = int(str(X.table(spark, sf_dir, "documents")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return grams.order_counts(X.token_rows(spark, sf_dir), [3, 4, 5], stored)
+    return grams.order_counts(X.token_rows(spark, sf_dir), [3, 4, 5], X.stored_bytes(spark, sf_dir, "documents"))
 
 
 def text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
