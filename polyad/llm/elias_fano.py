@@ -16,6 +16,8 @@ import numpy as np
 
 U64 = np.uint64
 ONE = U64(1)
+#: Keys looked up at a time: what stands between the steps of a look-up stays in the processor's cache.
+BLOCK = 1 << 14
 
 
 def low_width(universe: int, n: int) -> int:
@@ -70,16 +72,22 @@ class Sequence:
         self.n = int(self.entry[-1])
         load = lambda end: mapped(f"{stem}.{end}", U64)
         self.low, self.high, self.zeros = load("low"), load("high"), load("zeros")
+        # what a look-up asks of a part: its first bit, the zeros before it, its last bucket, and what to add to
+        # its bits for entries
+        first = self.high_at[:-1]
+        self.first_bit, self.zeros_at = first * 64, self.zeros[first].astype(np.int64)
+        self.top = (self.high_at[1:] - first) * 64 - np.diff(self.entry) - 1
+        self.low_bit = self.low_at[:-1] * 64 - self.entry[:-1] * self.width
 
     def _select_zero(self, k: np.ndarray) -> np.ndarray:
         """Bit positions of the k-th zeros (from 0) of the high words."""
-        word = np.searchsorted(self.zeros, k.astype(U64), "right") - 1
-        return word * 64 + select_bit(~self.high[word], k - self.zeros[word].astype(np.int64))
+        word = np.searchsorted(self.zeros, k.view(U64), "right") - 1
+        return word * 64 + select_bit(~self.high.take(word, mode="clip"), k - self.zeros.take(word, mode="clip").view(np.int64))
 
     def _ones_before(self, bit: np.ndarray) -> np.ndarray:
         """How many ones stand without a gap before each bit position; -1 where they fill the bit's word."""
-        within = (bit & 63).astype(U64)
-        gaps = ~self.high[bit >> 6] & ((ONE << within) - ONE)
+        within = (bit & 63).view(U64)
+        gaps = ~self.high.take(bit >> 6, mode="clip") & ((ONE << within) - ONE)
         for shift in (1, 2, 4, 8, 16, 32):
             gaps |= gaps >> U64(shift)
         return np.where(gaps == 0, -1, within.astype(np.int64) - np.bitwise_count(gaps).astype(np.int64))
@@ -88,44 +96,53 @@ class Sequence:
         """The numbers of ``width`` bits that begin at the given bits of the low words."""
         if not len(self.low):
             return np.zeros(len(bit), U64)
-        word, shift = bit >> 6, (bit & 63).astype(U64)
-        last = len(self.low) - 1
-        x = self.low[np.minimum(word, last)] >> shift
-        y = self.low[np.minimum(word + 1, last)] << ((U64(64) - shift) & U64(63))
-        x |= np.where(shift > 0, y, U64(0))
-        return x & ((ONE << width.astype(U64)) - ONE)
+        word, shift = bit >> 6, (bit & 63).view(U64)
+        x = self.low.take(word, mode="clip")
+        x >>= shift
+        word += 1
+        y = self.low.take(word, mode="clip")
+        y <<= ONE  # in two steps, as a shift by 64 isn't defined
+        y <<= U64(63) - shift
+        x |= y
+        x &= (ONE << width.view(U64)) - ONE
+        return x
 
     def successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key the number of values below it, and whether it is a value itself."""
-        if not self.n or not len(keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for k in range(0, len(keys) if self.n else 0, BLOCK):
+            at[k : k + BLOCK], found[k : k + BLOCK] = self._successor(keys[k : k + BLOCK])
+        return at, found
+
+    def _successor(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.maximum(np.searchsorted(self.begin, keys, "right") - 1, 0)
-        under, rest = keys < self.begin[part], keys - self.begin[part]
-        beyond = ~under & (rest > self.last[part])  # in a gap between parts
-        rest = np.where(under | beyond, U64(0), rest)
-        width = self.width[part].astype(U64)
+        begin, entry = self.begin.take(part), self.entry.take(part)
+        under, rest = keys < begin, keys - begin
+        beyond = ~under & (rest > self.last.take(part))  # in a gap between parts
+        rest[under | beyond] = 0
+        wide = self.width.take(part)
+        width = wide.view(U64)
         # zeros before a part: those of all words before it
-        bucket = (rest >> width).astype(np.int64)
-        top = (self.high_at[part + 1] - self.high_at[part]) * 64 - (self.entry[part + 1] - self.entry[part])
-        bucket = np.minimum(bucket, top - 1)
-        zero = self.zeros[self.high_at[part]].astype(np.int64) + bucket
-        first_bit = self.high_at[part] * 64
-        end = self._select_zero(zero) - first_bit - bucket + self.entry[part]
+        bucket = np.minimum((rest >> width).view(np.int64), self.top.take(part))
+        zero = self.zeros_at.take(part) + bucket
+        shift = self.first_bit.take(part) - entry
+        zero_bit = self._select_zero(zero)
+        end = zero_bit - shift - bucket
         # a bucket begins where the zero before it stands: mostly in the word of its own zero
-        run = self._ones_before(first_bit + bucket + end - self.entry[part])
+        run = self._ones_before(zero_bit)
         start = end - run
         far = np.flatnonzero(run < 0)
-        start[far] = self.entry[part[far]]
+        start[far] = entry[far]
         far = far[bucket[far] > 0]
-        start[far] = self._select_zero(zero[far] - 1) - first_bit[far] - (bucket[far] - 1) + self.entry[part[far]]
+        start[far] = self._select_zero(zero[far] - 1) - shift[far] - (bucket[far] - 1)
         low = rest & ((ONE << width) - ONE)
         found = np.zeros(len(keys), bool)
         lo = start.copy()
         # Within buckets: values are spread evenly, so every other guess is by proportion, the others halve what
         # is left. Columns: row, part's width, its first bit, lo and hi, the values below and above them, key.
         at = np.flatnonzero(start < end)
-        wide, bit, a, b, key = self.width[part[at]], self.low_at[part[at]] * 64 - self.entry[part[at]] * self.width[part[at]], start[at], end[at], low[at]
-        under_, over_ = np.zeros(len(at), U64), ONE << wide.astype(U64)
+        wide, bit, a, b, key = (x.take(at) for x in (wide, self.low_bit.take(part), start, end, low))
+        under_, over_ = np.zeros(len(at), U64), ONE << wide.view(U64)
         turn = 0
         while len(at):
             if turn & 1:
@@ -134,18 +151,28 @@ class Sequence:
                 mid = np.minimum(a + ((b - a) * ((key - under_) / (over_ - under_))).astype(np.int64), b - 1)
             value = self._low_bits(bit + mid * wide, wide)
             less, same = value < key, value == key
-            found[at[same]] = True
-            lo[at] = np.where(less, mid + 1, mid)
             a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            on = a < b
+            on &= ~same
+            lo[at] = np.where(same, mid, a)
+            found[at[same]] = True
+            go = np.flatnonzero(on)
             under_, over_ = np.where(less, value + ONE, under_), np.where(less, over_, value)
-            go = np.flatnonzero(~same & (a < b))
-            at, wide, bit, a, b, key, under_, over_ = (x[go] for x in (at, wide, bit, a, b, key, under_, over_))
+            at, wide, bit, a, b, key, under_, over_ = (x.take(go) for x in (at, wide, bit, a, b, key, under_, over_))
             turn += 1
-        lo = np.where(beyond, self.entry[part + 1], np.where(under, self.entry[part], lo))
-        return lo, found & ~under & ~beyond
+        lo[beyond] = self.entry[part[beyond] + 1]
+        lo[under] = entry[under]
+        found &= ~(under | beyond)
+        return lo, found
 
     def access(self, entry: np.ndarray) -> np.ndarray:
         """The values of the given entries."""
+        out = np.zeros(len(entry), U64)
+        for k in range(0, len(entry), BLOCK):
+            out[k : k + BLOCK] = self._access(entry[k : k + BLOCK])
+        return out
+
+    def _access(self, entry: np.ndarray) -> np.ndarray:
         part = np.searchsorted(self.entry, entry, "right") - 1
         i, at = entry - self.entry[part], self.high_at[part]
         base = self.zeros[at].astype(np.int64)

@@ -18,8 +18,9 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes of text treated at a time; a longer text is a slice of its own, hashed in stretches of this size.
-SLICE_BYTES = 1 << 20
+#: Bytes of text treated at a time; a longer text is a slice of its own. Bytes hashed at a time: what stands
+#: between the steps stays in the processor's cache.
+SLICE_BYTES, HASH_BYTES = 1 << 20, 1 << 15
 
 _rng = np.random.default_rng(20_24_11)
 _CODE = _rng.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
@@ -29,10 +30,10 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    """SLICE_BYTES + 1 powers of the base and of its inverse modulo 2**64."""
+    """HASH_BYTES + 1 powers of the base and of its inverse modulo 2**64."""
     if not _powers:
         for base in (_BASE, _INVERSE):
-            out = np.full(SLICE_BYTES + 1, base, U64)
+            out = np.full(HASH_BYTES + 1, base, U64)
             out[0] = 1
             np.multiply.accumulate(out, out=out)
             _powers.append(out)
@@ -78,36 +79,34 @@ class Texts:
         self.word_off = np.searchsorted(self.starts, self.off)
         return self
 
-    def _stretches(self, at: np.ndarray) -> Iterator[tuple[slice, int, int]]:
-        """For each stretch of the bytes: which of the sorted places lie in it, where it begins and ends."""
-        size = len(self.data)
-        for begin in range(0, size + 1, SLICE_BYTES):
-            end = min(begin + SLICE_BYTES, size + 1)
-            a, b = np.searchsorted(at, (begin, end))
-            yield slice(a, b), begin, end
-
-    def _sums_at(self, at: np.ndarray) -> np.ndarray:
-        """Sums of code times power of the base over the bytes before each of the sorted places."""
+    def _sums_at(self, *places: np.ndarray) -> list[np.ndarray]:
+        """Sums of code times power of the base over the bytes before each place; places rise."""
         power, _ = _power_tables()
-        out, total = np.zeros(len(at), U64), U64(0)
-        for rows, begin, end in self._stretches(at):
+        out, total, size = [np.zeros(len(at), U64) for at in places], U64(0), len(self.data)
+        for begin in range(0, size + 1, HASH_BYTES):
+            end = min(begin + HASH_BYTES, size + 1)
             scale = U64(pow(_BASE, begin, 1 << 64))
-            piece = _CODE[self.data[begin:end]]
+            piece = _CODE.take(self.data[begin:end])
             piece *= power[: len(piece)]
             local = np.zeros(len(piece) + 1, U64)
             np.cumsum(piece, out=local[1:])
-            out[rows] = local[at[rows] - begin] * scale + total
-            total = total + local[-1] * scale
+            local *= scale
+            local += total
+            for at, sums in zip(places, out):
+                a, b = np.searchsorted(at, (begin, end))
+                sums[a:b] = local.take(at[a:b] - begin)
+            total = local[-1]
         return out
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte ranges; equal bytes give equal hashes wherever they stand. Both limits rise."""
         _, inverse = _power_tables()
         with np.errstate(over="ignore"):
-            out = self._sums_at(ends)
-            out -= self._sums_at(starts)
-            for rows, begin, _ in self._stretches(starts):
-                out[rows] *= inverse[starts[rows] - begin] * U64(pow(_INVERSE, begin, 1 << 64))
+            before, out = self._sums_at(starts, ends)
+            out -= before
+            for begin in range(0, len(self.data) + 1, HASH_BYTES):
+                a, b = np.searchsorted(starts, (begin, begin + HASH_BYTES))
+                out[a:b] *= inverse.take(starts[a:b] - begin) * U64(pow(_INVERSE, begin, 1 << 64))
         return mix(out + (ends - starts).astype(U64))
 
     def word_hashes(self) -> np.ndarray:

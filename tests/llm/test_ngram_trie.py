@@ -6,10 +6,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from polyad.llm import elias_fano as E
 from polyad.llm import ngram_trie as T
 from polyad.llm.elias_fano import Sequence, write_part
+from polyad.llm.textvec import HASH_BYTES, Texts
 
 
 def test_sequence(tmp_path):
@@ -42,6 +45,30 @@ def test_sequence(tmp_path):
             assert (s.span(a, b) == values[a:b]).all()
 
 
+def test_look_ups_come_in_blocks(tmp_path, monkeypatch):
+    """op7 took more CPU seconds than its budget: arrays between the steps of a look-up didn't fit the cache."""
+    values = np.unique(np.random.default_rng(2).integers(0, 1 << 40, 5000, dtype=np.uint64) ** np.uint64(2) >> np.uint64(30))
+    about = write_part(f"{tmp_path}/s", 0, 1 << 50, values)
+    with open(f"{tmp_path}/s.json", "w") as f:
+        json.dump([about], f)
+    sizes, one = [], Sequence._successor
+    monkeypatch.setattr(Sequence, "_successor", lambda self, keys: sizes.append(len(keys)) or one(self, keys))
+    monkeypatch.setattr(E, "BLOCK", 700)
+    keys = np.unique(np.concatenate((values, values + np.uint64(1))))
+    s = Sequence(f"{tmp_path}/s")
+    at, found = s.successor(keys)
+    assert (at == np.searchsorted(values, keys)).all() and (found == np.isin(keys, values)).all()
+    assert max(sizes) == 700 and sum(sizes) == len(keys)
+    assert (s.access(np.arange(len(values))) == values).all()
+
+
+def test_words_hash_alike_in_every_stretch():
+    some = ["x" * (i % 70 + 1) + str(i) for i in range(3000)]
+    text = Texts(pa.array([" ".join(some * 2)])).split()
+    h = text.word_hashes()
+    assert len(text.data) > 4 * HASH_BYTES and (h[:3000] == h[3000:]).all() and len(np.unique(h)) == 3000
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + [None]
 
